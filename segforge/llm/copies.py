@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from segforge.io import salted_join
 
 #: Blocks of scripts written without spaces (Thai to Khmer, kana, ideographs, half-width kana).
-UNSPACED = "฀-໿က-႟ក-៿⺀-⿟々-〇぀-ヿㇰ-ㇿ㐀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
+UNSPACED = "\u0e00-\u0effက-႟ក-\u17ff⺀-\u2fdf々-〇\u3040-ヿㇰ-ㇿ㐀-鿿豈-\ufaffｦ-ﾟ\U00020000-\U0003ffff"
 _BESIDE = re.compile(f" (?=[{UNSPACED}])|(?<=[{UNSPACED}]) ")
 #: Values remembered by a task; memory only.
 DICTIONARY = 100_000

@@ -34,11 +34,10 @@ OTHER = "ɑɡıℓꓐꓚꓓꓰꓖꓧꓗꓡꓟꓠꓳꓑꓢꓔꓴꓦꓪꓫꓬꓜ"
 OTHER_AS = "agilBCDEGHKLMNOPSTUVWXYZ"
 LATIN_TWIN = {ord(a): b for x, y in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (ARMENIAN, ARMENIAN_AS), (CHEROKEE, CHEROKEE_AS), (OTHER, OTHER_AS)) for a, b in zip(x, y, strict=True)}
 #: Default-ignorable characters.
-IGNORABLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￰-￸\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
+IGNORABLE = re.compile("[\xad\u034f\u061cᅟᅠ\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206fㅤ\ufe00-\ufe0f\ufeffﾠ\ufff0-\ufff8\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0000-\U000e0fff]")
 #: Decompositions that keep the look: width variants, presentation ligatures and Thai and Lao AM.
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
 LIGATURES = range(0xFB00, 0xFB07)
-ODD = re.compile("[^\x00-\xa6\xa8\xa9\xab-\xae\xb0\xb1\xb6\xbb\xbf-\xffĀ-ſ‐-‧一-鿿]")
 
 
 class _Look(dict):

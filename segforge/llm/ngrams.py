@@ -20,6 +20,8 @@ BUCKETS = 1 << BITS
 LANGUAGES = ["en", "de", "fr", "es", "pt", "pl", "ru", "ja", "zh", "th", "ar", "hi"]
 ROW = {name: i for i, name in enumerate(LANGUAGES)}
 _A, _B, _C, _D = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(64 - BITS)
+_D_WORD = np.uint64(0x9E3779B97F4A7C15)
+_D_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def primary(tag: Column) -> Column:
@@ -50,28 +52,48 @@ def trigrams(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def counts(texts: DataFrame) -> DataFrame:
-    """``row, bucket, n`` of ``lang, text``; every task sends its sums, not its trigrams."""
+def words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, start) of each run of characters other than white space, from prefix sums of powers."""
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank = (codes == 32) | (codes == 10) | (codes == 9) | (codes == 0xA0) | (codes == 0x3000)
+    begin = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    end = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(codes), _D_WORD, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(7)) * powers)])
+        inverse = np.cumprod(np.full(len(codes), _D_INVERSE, np.uint64))
+        h = (sums[end] - sums[begin]) * inverse[begin]
+        h ^= h >> np.uint64(31)
+        return ((h * _B) >> _D).astype(np.int64), begin
+
+
+def counts(texts: DataFrame, keep=None, with_words: bool = False) -> DataFrame:
+    """``row, bucket, n`` of ``lang, text``; every task sends its sums, not its trigrams. ``keep(lang, text)`` chooses
+    the texts to learn from. With words, rows from the number of languages on hold word counts."""
 
     def run(batches):
-        table = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+        table = np.zeros(((1 + with_words) * len(LANGUAGES), BUCKETS), np.int64)
         for batch in batches:
             langs, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = [i for i, (a, b) in enumerate(zip(langs, values)) if a in ROW and b]
-            codes, starts = codes_of([values[i] for i in keep])
-            row = np.repeat(np.array([ROW[langs[i]] for i in keep], np.int64), np.diff(starts))
+            chosen = [i for i, (a, b) in enumerate(zip(langs, values)) if a in ROW and b and (keep is None or keep(a, b))]
+            codes, starts = codes_of([values[i] for i in chosen])
+            row = np.repeat(np.array([ROW[langs[i]] for i in chosen], np.int64), np.diff(starts))
             grams = trigrams(codes)
             good = grams >= 0
-            np.add.at(table, (row[good], grams[good]), 1)
+            table.reshape(-1)[: len(LANGUAGES) * BUCKETS] += np.bincount(row[good] * BUCKETS + grams[good], minlength=len(LANGUAGES) * BUCKETS)
+            if with_words:
+                found, at = words(codes)
+                table.reshape(-1)[len(LANGUAGES) * BUCKETS :] += np.bincount(row[at] * BUCKETS + found, minlength=len(LANGUAGES) * BUCKETS)
         rows, buckets = np.nonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(buckets.astype(np.int32)), pa.array(table[rows, buckets])], names=["row", "bucket", "n"])
 
     return texts.select("lang", "text").mapInArrow(run, "row int, bucket int, n bigint").groupBy("row", "bucket").agg(F.sum("n").alias("n"))
 
 
-def table_of(counted: DataFrame) -> np.ndarray:
-    """The counts as an array; at most languages times buckets cells reach the driver."""
-    out = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
+def table_of(counted: DataFrame, with_words: bool = False) -> np.ndarray:
+    """The counts as an array; at most languages times buckets cells (twice that with words) reach the driver."""
+    out = np.zeros(((1 + with_words) * len(LANGUAGES), BUCKETS), np.int64)
     got = counted.toArrow()
     if got.num_rows:
         out[got["row"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
