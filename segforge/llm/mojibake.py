@@ -33,7 +33,7 @@ LETTERS = {
     "pl": "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ", "ru": "А-яЁё", "ja": "ぁ-ゟァ-ヿ々〆〇一-鿿", "zh": "々〇一-鿿", "th": "ก-๛", "ar": "\u0600-ۿ", "hi": "\u0900-ॿ",
 }
 #: Punctuation, symbols, marks and width variants that sound text of any language may hold.
-COMMON = "\x00-\x7f\xa0\xa7\xa9\xab\xad\xae\xb0\xb1\xb5\xb7\xbb\xbd\xd7 -‟†-•…- ‰′″‹›⁠-⁯€№™←-↓✓✔✗　-〟＀-￯̀-゙゚ͯ︀-️﻿\U0001f300-\U0001faff"
+COMMON = "\x00-\x7f\xa0\xa7\xa9\xab\xad\xae\xb0\xb1\xb5\xb7\xbb\xbd\xd7\u2000-‟†-•…-\u202f‰′″‹›\u2060-\u206f€№™←-↓✓✔✗\u3000-〟\uff00-\uffef\u0300-\u036f\u3099\u309a\ufe00-\ufe0f\ufeff\U0001f300-\U0001faff"
 # Look-alike letters that may stand in sound text (they are another problem).
 TWINS = "АВЕЅІЈКМНОРСТУХаеорсухѕіјһΑΒΕΖΗΙΚΜΝΟΡΤΥΧονµ"
 ODD = {lang: re.compile(f"[^{COMMON}{letters}{TWINS}]|(?<=[^\\W\\d_])[‚„†‡•‰‹˜ˆ…™°±§©®](?=[^\\W\\d_])") for lang, letters in LETTERS.items()}
@@ -85,7 +85,7 @@ def bytes_by(encoding: str) -> dict[str, int]:
 def byte_view(encoding: str) -> dict[int, int | str]:
     """Translation of text to its bytes as Latin-1; what the encoding doesn't have leaves that range."""
     view: dict[int, int | str] = {b: chr(0xE200 + b) for b in range(0x80, 0x100)} | {ord(c): b for c, b in bytes_by(encoding).items()}
-    return view | {0xFFFD: ""}
+    return view | {0xFFFD: "\ue000"}
 
 
 @lru_cache(maxsize=None)
@@ -183,7 +183,7 @@ class Channels:
         if not pattern.search(text):
             return None
         view = byte_view(read_as)
-        return pattern.sub(lambda m: self.sequence(m.group().translate(view).replace("", "\xff"), text[max(0, m.start() - 2) : m.start()], row), text)
+        return pattern.sub(lambda m: self.sequence(m.group().translate(view).replace("\ue000", "\xff"), text[max(0, m.start() - 2) : m.start()], row), text)
 
     def sequence(self, raw: str, before: str, row: int) -> str:
         """One UTF-8 sequence given as Latin-1, with \xff for a lost byte."""
@@ -241,7 +241,7 @@ class Channels:
                         continue
                 else:
                     seen = text.translate(byte_view(read_as))
-                    if sum(c >= "" and c <= "" for c in seen) > high // 4:
+                    if sum(c >= "\ue200" and c <= "\ue2ff" for c in seen) > high // 4:
                         continue
                     got = _BYTES.sub(lambda m: m.group().encode("latin-1").decode(own, "replace"), seen)
                     if got.count("�") > max(1, len(got) // 10) or _STRAY.search(got):
