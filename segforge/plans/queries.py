@@ -75,9 +75,12 @@ def best_match(s, d):
 
 
 def ice_match(s, d):
-    f = leverage.deliveries(table(s, d, "files")).select("file_id", "newest")
-    u = leverage.in_context(units(s, d)).join(f, "file_id")
-    return leverage.leverage(u.where("newest"), u.where("not newest"))
+    """Files of one pair of languages, the even ones older: units leveraged from the older to the newer where the shapes of
+    the texts agree, names and numbers aside."""
+    f = _langs(s, d).where("sl is not null and tl is not null").select("file_id", F.concat_ws("-", "sl", "tl").alias("pair"))
+    shape = F.regexp_replace(F.regexp_replace("source", "[A-Z][a-z]+", "N"), "[0-9]+", "0")
+    u = leverage.in_context(units(s, d).withColumn("source", shape)).join(f, "file_id").withColumn("original", F.col("pair"))
+    return leverage.leverage(u.where("file_id % 2 = 1"), u.where("file_id % 2 = 0"))
 
 
 def ice_applied(s, d):
@@ -173,6 +176,7 @@ def duplicate_ids(s, d):
 
 
 def dangling_refs(s, d):
+    """Files without parameters, and matches without unit."""
     a = validate.dangling("ref-params", table(s, d, "files").select("file_id"), "file_id", "file_id", table(s, d, "convert_params"), "file_id")
     b = validate.dangling("ref-unit", table(s, d, "alt_trans").dropDuplicates(["alt_id"]), "alt_id", "unit_key", units(s, d), "unit_key")
     return a.unionByName(b)
@@ -296,7 +300,7 @@ def key_scope_resolve(s, d, rounds: int = 4):
     for _ in range(rounds - 1):
         step = edges.select(F.col("k").alias("at"), F.col("ref").alias("next"))
         at = at.join(step, "at", "left").select("k", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.col("next").isNotNull().cast("int")).alias("steps"))
-    return at.select("k", "at", "steps")
+    return at.select("k", F.col("at").alias("ends_at"), "steps")
 
 
 def unit_regroup(s, d):
