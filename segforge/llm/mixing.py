@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from segforge.io import materialise
 from segforge.llm import tokens
 
 #: Bits of each level's bucket. After the last level a bucket holds one document in 2**36.
@@ -46,6 +47,7 @@ def budgets(sizes: DataFrame, weights: DataFrame, total_tokens: int | None = Non
 def thresholds(sizes: DataFrame, budget: DataFrame) -> DataFrame:
     """Adds ``below``: documents with a smaller hash fit into ``rest``. One small aggregate a level; the table of open
     buckets has a row for each mix and source."""
+    budget = materialise(budget)
     open_ = budget.select("mix", "source", F.col("rest"), F.lit(0).cast("bigint").alias("prefix"))
     taken = 0
     for bits in LEVELS:
@@ -67,14 +69,16 @@ def thresholds(sizes: DataFrame, budget: DataFrame) -> DataFrame:
         )
         # the document at the border is used too where that comes nearer to the target
         nearer = F.col("prefix") + F.coalesce(F.col("t") < 2 * F.col("rest"), F.lit(False)).cast("int")
-        below, open_ = open_.select("mix", "source", nearer.alias("below")), open_.drop("t")
+        level = materialise(open_.withColumn("below", nearer))  # a row for each mix and source
+        below, open_ = level.select("mix", "source", "below"), level.drop("t", "below")
     return budget.join(below, ["mix", "source"])
 
 
-def mix(documents: DataFrame, weights: DataFrame, total_tokens: int | None = None, path: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def mix(documents: DataFrame, weights: DataFrame, total_tokens: int | None = None, path: str | None = None, sizes: DataFrame | None = None, planned: DataFrame | None = None) -> DataFrame:
     """``mix, doc_id, source, n_tokens, copies``: every document used, with how often."""
     sizes = sized(documents, path) if sizes is None else sizes
-    plan = thresholds(sizes, budgets(sizes, weights, total_tokens)).select("mix", "source", "whole", "below")
+    planned = thresholds(sizes, budgets(sizes, weights, total_tokens)) if planned is None else planned
+    plan = planned.select("mix", "source", "whole", "below")
     used = sizes.join(plan, "source").withColumn("copies", F.col("whole") + (F.col("h") < F.col("below")).cast("int"))
     return used.where("copies > 0 and n_tokens > 0").select("mix", "doc_id", "source", "n_tokens", "copies")
 
@@ -82,8 +86,8 @@ def mix(documents: DataFrame, weights: DataFrame, total_tokens: int | None = Non
 def shares(documents: DataFrame, weights: DataFrame, total_tokens: int | None = None, path: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """The report: for each mix and source the target and what was reached."""
     sizes = sized(documents, path) if sizes is None else sizes
-    plan = thresholds(sizes, budgets(sizes, weights, total_tokens))
-    got = mix(documents, weights, total_tokens, path, sizes).groupBy("mix", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
+    plan = materialise(thresholds(sizes, budgets(sizes, weights, total_tokens)))
+    got = mix(documents, weights, total_tokens, path, sizes, plan).groupBy("mix", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     out = plan.join(got, ["mix", "source"], "left").na.fill(0, ["tokens", "documents", "most_copies"])
     whole = F.sum("tokens").over(Window.partitionBy("mix"))
     return out.select("mix", "source", "weight", "max_repeats", "available", "target_tokens", "tokens", "documents", "most_copies", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0).alias("share"))
