@@ -65,6 +65,14 @@ FILLS = re.compile(
     r"|\b(?:dies|das|hier) ist (?:ein |nur |der )*blindtext|^\W*blindtext|hier (?:steht|kommt|folgt) (?:später )?(?:der|ihr)|faux[- ]texte|texte (?:factice|de remplissage|d['’]exemple|provisoire)|(?:votre|le) (?:texte|contenu) (?:ici|viendra|apparaîtra)|texto (?:de relleno|de ejemplo|de muestra|provisional|de exemplo|de preenchimento|provisório|fictício)|(?:su|seu|el|o) (?:contenido|texto|conteúdo) (?:va |vai |irá )?aquí?\b|tekst zastępczy|przykładowy tekst|tutaj pojawi się|tekst wypełniający|текст[- ](?:заполнител|рыб)|(?:здесь|тут) (?:будет|появится) (?:ваш )?(?:текст|содерж|контент)|(?:это )?(?:пример|образец) текста"
     r"|ダミーテキスト|仮(?:の)?(?:テキスト|文章)|ここに(?:本文|文章|テキスト)|サンプルテキスト|占位文字|占位文本|示例文字|示例文本|此处填写|在此(?:处)?(?:输入|填写)|ข\u0e49อความต\u0e31วอย\u0e48าง|ใส\u0e48(?:เน\u0e37\u0e49อหา|ข\u0e49อความ)ของค\u0e38ณ|نص (?:تجريبي|مؤقت|عشوائي|بديل|نموذجي)|(?:ضع|اكتب|أدخل) (?:المحتوى|النص|محتوى)|هنا (?:المحتوى|النص)|नम\u0942ना (?:पाठ|ट\u0947क\u094dस\u094dट)|(?:यहा\u0901|यहा\u0902) (?:अपनी |आपकी |अपना |आपका )?(?:सामग\u094dरी|पाठ)"
 )
+# Stems of which each pattern above holds at least one; they spare most passages the patterns.
+STEMS = (
+    "not found|denied|forbidden|unauthorized|internal server|gateway|unavailable|time-out|timeout|too many|does not exist|looking for|requested|no longer|could not be|cannot be|permission|upstream|down for|session has|went wrong|occurred|try again|uncaught|traceback|angefordert|nicht gefunden|dienst|verweigert|demandée|introuvable"
+    "|momentan|temporair|actuellement|refusé|interdit|solicitada|encontrada|disponib|indispon|denegado|negado|znalezion|nie istnieje|niedostępn|odmowa|не найден|не существ|временно|запрещ|見つかり|いただけません|利用できません|不存在|找不到|不可用|拒绝|ไม่พบ|บริการ|غير|नहीं|script|जावा|จาวา|جافا|checking your|java"
+    "|lorem|placeholder|sample|dummy|filler|here|blah|test|qwerty|blindtext|hier |faux|texte|contenu|texto|contenido|conteúdo|tekst|tutaj|текст|здесь|тут |содерж|ダミー|仮|ここに|サンプル|占位|示例|此处|在此|ตัวอย่าง|ใส่|نص|ضع|اكتب|أدخل|هنا|नमूना|यहाँ|यहां"
+).split("|")
+_NUMBERED = re.compile(r"(?<!\d)[45]\d\d(?!\d)|^\s*at ")
+_MAY_HOLD_SLOT = re.compile(r"[{$%\[<@«#&_]|XXX|TBD")
 # Words of the usual Latin filler.
 LATIN_FILLER = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim laborum".split())
 QUOTED = re.compile("[“„«「『\"‘]")
@@ -91,13 +99,14 @@ def passages(text: str) -> list[tuple[str, bool]]:
 
 
 def is_latin_filler(passage: str) -> bool:
-    found = [w for w in _WORD.findall(passage.lower()) if w in LATIN_FILLER]
-    return len(found) >= 4 and len(set(found)) >= 3 and len(found) * 2 >= len(passage.split())
+    words = passage.lower().replace(".", " ").replace(",", " ").split()
+    found = [w for w in words if w in LATIN_FILLER]
+    return len(found) >= 4 and len(set(found)) >= 3 and len(found) * 2 >= len(words)
 
 
 def fills_slot(passage: str) -> bool:
     """A slot stands in running text, and the text doesn't speak of slots."""
-    if not SLOT.search(passage):
+    if not _MAY_HOLD_SLOT.search(passage) or not SLOT.search(passage):
         return False
     rest = SLOT.sub(" ", passage)
     return sum(c.isalpha() for c in rest) >= 2 and not SPEAKS.search(rest)
@@ -107,10 +116,15 @@ def trusted(passage: str, formatted: bool) -> int:
     """Kind of a passage beyond doubt, else 0."""
     if formatted:
         return 0
-    quoted = bool(QUOTED.search(passage))
     if fills_slot(passage):
         return 1
-    if is_latin_filler(passage) or (not quoted and FILLS.search(passage)):
+    low = passage.lower()
+    if is_latin_filler(low):
+        return 4
+    if not (any(x in low for x in STEMS) or _NUMBERED.search(low)):
+        return 0
+    quoted = bool(QUOTED.search(passage))
+    if not quoted and FILLS.search(passage):
         return 4
     if not quoted and NOTICES.search(passage):
         return 3
@@ -122,7 +136,7 @@ def trusted(passage: str, formatted: bool) -> int:
 def features(passage: str) -> list[int]:
     """Hashed words; slots, file names, numbers and quotes are one word each, unspaced scripts give bigrams."""
     words = []
-    masked, n = SLOT.subn(" \x00 ", passage)
+    masked, n = SLOT.subn(" \x00 ", passage) if _MAY_HOLD_SLOT.search(passage) else (passage, 0)
     words += ["\x00slot"] * min(n, 1)
     masked, n = _FILE.subn(" ", masked)
     words += ["\x00file"] * min(n, 1)
