@@ -16,10 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where the input has fewer splits than there are cores (a file of one row group); larger
-    inputs are left as they are read, without a shuffle."""
+    """The rows over all cores where the input has fewer files than there are cores (splits of one row group are empty but
+    for one); larger inputs are left as they are read, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
