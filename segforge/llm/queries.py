@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segforge.io import ensure_checkpoint_dir, materialise, table
+from segforge.io import ensure_checkpoint_dir, materialise, spread, table
 from segforge.llm import copies, lookalikes, mixing, mojibake, pairs, residue, sentences, tokens
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.found(table(spark, d, "trans_units"), table(spark, d, "files"), table(spark, d, "convert_params"))
+    return sentences.found(spread(table(spark, d, "trans_units")), table(spark, d, "files"), table(spark, d, "convert_params"))
 
 
 def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of the documents, as units of their own."""
-    docs = table(spark, d, "documents").where("text is not null and trim(text) <> ''")
+    docs = spread(table(spark, d, "documents")).where("text is not null and trim(text) <> ''")
     lang = F.lower(F.regexp_extract("lang", "^[A-Za-z]+", 0)).alias("lang")
     texts = docs.select(F.col("doc_id").alias("id"), lang, F.xxhash64(F.coalesce("original", F.lit(""))).alias("doc"), "text")
     cut = sentences.sentences(texts, texts)
@@ -25,55 +25,55 @@ def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.found(table(spark, d, "trans_units"), table(spark, d, "files"))
+    return mojibake.found(spread(table(spark, d, "trans_units")), table(spark, d, "files"))
 
 
 def p2_restored(spark: SparkSession, d: str) -> DataFrame:
-    return mojibake.restored(table(spark, d, "trans_units"), table(spark, d, "files"))
+    return mojibake.restored(spread(table(spark, d, "trans_units")), table(spark, d, "files"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.found(table(spark, d, "trans_units"), table(spark, d, "files"))
+    return pairs.found(spread(table(spark, d, "trans_units")), table(spark, d, "files"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.found(table(spark, d, "trans_units"))
+    return lookalikes.found(spread(table(spark, d, "trans_units")))
 
 
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """How many strings of each field share one canonical form."""
-    forms = lookalikes.canonical(table(spark, d, "trans_units"), ["source", "target"]).where("form is not null")
+    forms = lookalikes.canonical(spread(table(spark, d, "trans_units")), ["source", "target"]).where("form is not null")
     return forms.groupBy("field", "form").agg(F.count("*").alias("n_strings"), F.sum("n").alias("n_rows")).where("n_strings > 1")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return copies.found(table(spark, d, "raw_units"))
+    return copies.found(spread(table(spark, d, "raw_units")))
 
 
 def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return copies.collapse(table(spark, d, "raw_units"))
+    return copies.collapse(spread(table(spark, d, "raw_units")))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode(table(spark, d, "documents"))
+    return tokens.encode(spread(table(spark, d, "documents")))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    sizes = materialise(mixing.sized(table(spark, d, "documents")))
-    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_weights"), sizes=sizes)
+    sizes = materialise(mixing.sized(spread(table(spark, d, "documents"))))
+    return mixing.shares(spread(table(spark, d, "documents")), table(spark, d, "mix_weights"), sizes=sizes)
 
 
 def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
-    sizes = materialise(mixing.sized(table(spark, d, "documents")))
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_weights"), sizes=sizes)
+    sizes = materialise(mixing.sized(spread(table(spark, d, "documents"))))
+    return mixing.mix(spread(table(spark, d, "documents")), table(spark, d, "mix_weights"), sizes=sizes)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.found(table(spark, d, "documents"))
+    return residue.found(spread(table(spark, d, "documents")))
 
 
 def p9_kept(spark: SparkSession, d: str) -> DataFrame:
-    return residue.kept(table(spark, d, "documents")).groupBy("source").agg(F.count("*").alias("n_documents"))
+    return residue.kept(spread(table(spark, d, "documents"))).groupBy("source").agg(F.count("*").alias("n_documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
