@@ -331,14 +331,10 @@ def evidence_of(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for lang, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if text and "." in text or text and doc is not None:
+                if text:
                     observe(text, counts, (lang, None))
                     if doc is not None:
                         observe(text, counts, (lang, doc))
-                elif text:
-                    m = _TOKEN.search(text)
-                    if m:
-                        counts[(lang, None), shape_of(m.group()), "starts"] += 1
             if len(counts) > FLUSH:
                 yield flush()
         if counts:

@@ -147,6 +147,13 @@ def test_sentence_offsets_cover_the_text(spark):
         assert not texts[key][at:].strip()
 
 
+def test_evidence_covers_texts_without_periods(spark):
+    texts = [("en", None, "Save the File menu"), ("en", 7, "Who sees the File?"), ("en", None, "File it."), ("en", None, ""), ("en", None, None)]
+    df = spark.createDataFrame(texts, "lang string, doc bigint, text string")
+    got = {(r["doc"], r["word"]): (r["ends"], r["goes_on"], r["dots"], r["starts"], r["mid"]) for r in sentences.evidence_of(df).collect()}
+    assert got[None, "File"] == (0, 0, 0, 1, 2) and got[None, "menu"] == (0, 0, 0, 0, 1) and got[7, "File"] == (0, 0, 0, 0, 1) and got[None, "Save"] == (0, 0, 0, 1, 0)
+
+
 # pairs -------------------------------------------------------------------------------------------------------------
 
 
