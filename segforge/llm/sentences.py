@@ -3,7 +3,7 @@
 Whether a period ends a sentence is told by its neighbours' unambiguous occurrences: a word that ends texts can end a
 sentence, one that is followed by a comma, a number or a word that never starts texts is an abbreviation; a word that
 starts texts can start a sentence, one that is seen with a capital in mid-sentence is a name. The same document's
-evidence is used where there is enough, else the corpus' for that language. Evidence is counted over all texts before
+evidence alone is used where its unambiguous occurrences are enough, else the corpus' for that language. Evidence is counted over all texts before
 the shuffle; only the evidence about words at doubtful places is joined to these places.
 
 Scripts have their own terminators; a sentence quoted or bracketed in a larger one is no unit; closing marks belong to
@@ -53,7 +53,7 @@ ORDINALS = {"de", "pl"}
 NUMBER, FILE = "\x01n", "\x01f"
 #: Distinct words a task counts before it passes on its sums; memory only.
 FLUSH = 300_000
-#: Occurrences in the document from which its evidence stands alone.
+#: Unambiguous occurrences in the document from which its evidence stands alone.
 ENOUGH = 3
 
 
@@ -245,8 +245,10 @@ def decide(place: Place, start: int, text: str, lang: str | None, w: Evidence, x
     return not (x.mid > 0 and x.starts == 0)
 
 
-def cut(text: str, lang: str | None, evidence) -> list[tuple[int, int]]:
-    """Offsets of the sentences; ``evidence(word)`` gives what is known about a word."""
+def cut(text: str, lang: str | None, evidence, after=None) -> list[tuple[int, int]]:
+    """Offsets of the sentences; ``evidence(word)`` gives what is known about a word, ``after(word)`` what is known about
+    it after a period, where that differs."""
+    after = after or evidence
     out, start, n = [], 0, len(text)
 
     def skip(i: int) -> int:
@@ -258,7 +260,7 @@ def cut(text: str, lang: str | None, evidence) -> list[tuple[int, int]]:
     for p in places(text, lang):
         if p.cut <= start:
             continue
-        if p.sure is None and not decide(p, start, text, lang, evidence(shape_of(p.word)) if p.word else Evidence(), evidence(shape_of(p.following)) if p.following else Evidence()):
+        if p.sure is None and not decide(p, start, text, lang, evidence(shape_of(p.word)) if p.word else Evidence(), after(shape_of(p.following)) if p.following else Evidence()):
             continue
         end = p.cut
         while end > start and text[end - 1].isspace():
@@ -371,8 +373,11 @@ def sentences(texts: DataFrame, everything: DataFrame) -> DataFrame:
     own = known.where("doc is not null").select(key, "doc", "word", *[F.col(c).alias(f"d_{c}") for c in COUNTS])
     joined = salted_join(places_.withColumn("lang", key), corpus, ["lang", "word"], F.col("id"), how="left")
     joined = salted_join(joined, own, ["lang", "doc", "word"], F.col("id"), how="left")
-    enough = (F.coalesce("d_dots", F.lit(0)) + F.coalesce("d_starts", F.lit(0)) + F.coalesce("d_mid", F.lit(0))) >= ENOUGH
-    both = [F.when(enough & (F.col("d_ends") + F.col("d_goes_on") + F.col("d_starts") + F.col("d_mid") > 0) & F.lit(c in ("starts", "mid")), F.greatest(F.col(f"d_{c}"), F.lit(0)) * 4 + F.coalesce(f"c_{c}", F.lit(0))).otherwise(F.coalesce(f"c_{c}", F.lit(0)) + F.coalesce(f"d_{c}", F.lit(0))).alias(c) for c in COUNTS]
+    # a period before a capital is no evidence by itself: a document decides by what its unambiguous occurrences tell
+    as_before = F.coalesce(F.expr(f"d_ends + d_goes_on >= {ENOUGH} or d_starts + d_mid >= greatest({ENOUGH}, 2 * d_dots)"), F.lit(False))
+    as_after = F.coalesce(F.expr(f"d_starts + d_mid >= {ENOUGH}"), F.lit(False))
+    one = lambda enough, c: F.when(enough, F.col(f"d_{c}")).otherwise(F.coalesce(f"c_{c}", F.lit(0)))
+    both = [*[one(as_before, c).alias(c) for c in COUNTS], *[one(as_after, c).alias(f"x_{c}") for c in ("starts", "mid")]]
     facts = joined.groupBy("id").agg(F.collect_list(F.struct("word", *both)).alias("facts"))
     full = texts.select("id", "lang", "text").join(facts, "id", "left")
 
@@ -382,8 +387,9 @@ def sentences(texts: DataFrame, everything: DataFrame) -> DataFrame:
             for key, lang, text, found in zip(*(c.to_pylist() for c in batch.columns)):
                 if text and text.strip():
                     table = {f["word"]: Evidence(*[f[c] for c in COUNTS]) for f in found or []}
+                    after = {f["word"]: Evidence(starts=f["x_starts"], mid=f["x_mid"]) for f in found or []}
                     none = Evidence()
-                    rows += [(key, a, b) for a, b in cut(text, lang, lambda w: table.get(w, none))]
+                    rows += [(key, a, b) for a, b in cut(text, lang, lambda w: table.get(w, none), lambda x: after.get(x, none))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["id", "start_char", "end_char"])
 
     return full.mapInArrow(run, "id bigint, start_char bigint, end_char bigint")

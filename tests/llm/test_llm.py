@@ -154,6 +154,14 @@ def test_evidence_covers_texts_without_periods(spark):
     assert got[None, "File"] == (0, 0, 0, 1, 2) and got[None, "menu"] == (0, 0, 0, 0, 1) and got[7, "File"] == (0, 0, 0, 0, 1) and got[None, "Save"] == (0, 0, 0, 1, 0)
 
 
+def test_document_outweighs_the_corpus(spark):
+    plain = [(100 + i, "en", 9, "We saw the fig.") for i in range(30)]
+    short = [(i, "en", 1, "See fig. 3, then fig. 4 and fig. 5 of it") for i in range(3)]
+    df = spark.createDataFrame([*plain, *short, (50, "en", 1, "Look at fig. Six of the plan"), (51, "en", 9, "Look at fig. Six of the plan"), (52, "en", None, "Look at fig. Six of the plan"), (53, "en", None, "we met Six there")], "id bigint, lang string, doc bigint, text string")
+    got = sentences.sentences(df, df).groupBy("id").count().collect()
+    assert {r["id"]: r["count"] for r in got if r["id"] in (50, 51, 52)} == {50: 1, 51: 2, 52: 2}
+
+
 # pairs -------------------------------------------------------------------------------------------------------------
 
 
