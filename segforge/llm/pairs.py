@@ -14,13 +14,14 @@ units count once. Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segforge.io import materialise, salted_join
@@ -71,6 +72,9 @@ MARGIN, LEAST_TRIGRAMS = 8.0, 4
 CANNED_LEAST, CANNED_SHARE, CANNED_PER_LANGUAGE = 8, 0.25, 2.0
 #: A length is a limit where so many times more unfinished responses end than at the lengths around it, and so many at least.
 SPIKE_TIMES, SPIKE_LEAST = 4.0, 8
+#: A text is a cut one if its units are at most such a share of those of the longer responses that go on from it; at a length
+#: limit, where none is known, of those that end there.
+CUT_SHARE, PILE_SHARE = 1.0, 0.25
 
 
 def key_of(text: str) -> str:
@@ -240,62 +244,87 @@ def judged(pairs: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def shortened(shapes: DataFrame) -> DataFrame:
-    """``tl, shape, inside`` of responses that begin their neighbour in the sorted order of ``tl, shape``.
+    """``tl, shape, inside, longer`` of responses that begin their neighbour in the sorted order of ``tl, shape``.
 
-    If any other response begins with a text, its next neighbour does. Tasks hold ranges of the order; the first row of each
-    range reaches the range before it through a table with one row a range. ``inside``: the neighbour goes on within a word.
+    If any other response begins with a text, its next neighbour does. Tasks hold ranges of the order; a table with one row
+    a range, and one for each text that may begin rows beyond it, carries on what a range leaves open. ``inside``: the
+    neighbour goes on within a word. ``longer``: units (``n`` of the input, else 1 a row) of all longer responses.
     """
 
     def run(batches):
         pid, before, first = TaskContext.get().partitionId(), None, None
+        open_: list[list] = []  # texts that begin the row at hand: shape, inside, longer
+        steps: dict[int, int] = {}  # units of the leading rows by the length that they share with the first
+        shared = 0
         out: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if before is None:
-                    first = row
-                else:
-                    out.extend(_begins(before, row))
-                before = row
-            yield _rows(out, pid, None)
+            for tl, shape, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if first is None:
+                    first, shared = (tl, shape), len(shape)
+                if tl != first[0]:
+                    shared = 0
+                elif shared:
+                    shared = min(shared, len(os.path.commonprefix([first[1], shape])))
+                if shared:
+                    steps[shared] = steps.get(shared, 0) + n
+                while open_ and (before != tl or not shape.startswith(open_[-1][0])):
+                    out.extend(_closed(open_.pop(), pid, before))
+                if open_ and open_[-1][1] is None:
+                    open_[-1][1] = _goes_on_inside(shape, len(open_[-1][0]))
+                for x in open_:
+                    x[2] += n
+                open_.append([shape, None, 0])
+                before = tl
+            yield _rows(out)
             out = []
         if first is not None:
-            yield _rows([], pid, (first, before))
+            for x in open_:
+                out.extend(_closed(x, pid, before))
+            out += [("open", pid, before, x[0], None, 0, None, None) for x in open_]
+            out.append(("first", pid, *first, None, 0, list(steps), list(steps.values())))
+            yield _rows(out)
+
+    counted = shapes if "n" in shapes.columns else shapes.withColumn("n", F.lit(1))
+    ordered = counted.select("tl", "shape", F.col("n").cast("bigint").alias("n")).repartitionByRange("tl", "shape").sortWithinPartitions("tl", "shape")
+    found = materialise(ordered.mapInArrow(run, SHORTENED))
+    opens = found.where("kind = 'open'").select("pid", "tl", "shape")
+    firsts = found.where("kind = 'first'").select(F.col("pid").alias("pid2"), F.col("tl").alias("tl2"), F.col("shape").alias("shape2"), "lengths", "units")
+    met = opens.join(firsts, F.expr("tl = tl2 and pid2 > pid and startswith(shape2, shape) and shape2 <> shape"))
+    more = F.expr("aggregate(zip_with(lengths, units, (l, u) -> if(l >= length(shape), u, 0L)), 0L, (a, x) -> a + x)")
+    inside = F.expr(f"substring(shape2, length(shape) + 1, 1) RLIKE '{INSIDE}'")
+    beyond = met.groupBy("tl", "shape").agg(F.min_by(inside, "pid2").alias("inside"), F.sum(more).alias("longer"))
+    return found.where("kind = 'short'").select("tl", "shape", "inside", "longer").unionByName(beyond).groupBy("tl", "shape").agg(F.max("inside").alias("inside"), F.sum("longer").alias("longer"))
+
+
+SHORTENED = "kind string, pid int, tl string, shape string, inside boolean, longer bigint, lengths array<int>, units array<bigint>"
+#: Letters, digits and Thai marks that go on within a word.
+INSIDE = "[\\p{L}\\p{N}_\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]"
+
 
-    ordered = shapes.repartitionByRange("tl", "shape").sortWithinPartitions("tl", "shape")
-    found = materialise(ordered.select("tl", "shape").mapInArrow(run, "kind string, pid int, tl string, shape string, inside boolean"))
-    borders = found.where("kind <> 'short'")
-    order = Window.orderBy("pid", "kind")  # two rows a range
-    nexts = borders.withColumn("tl2", F.lead("tl").over(order)).withColumn("shape2", F.lead("shape").over(order)).where("kind = 'last' and tl = tl2 and startswith(shape2, shape)")
-    inside = F.expr("NOT substring(shape2, length(shape) + 1, 1) RLIKE '^[\\\\s\\\\p{P}]' AND shape RLIKE '[\\\\p{L}\\\\p{M}\\\\p{N}]$'")
-    return found.where("kind = 'short'").select("tl", "shape", "inside").unionByName(nexts.select("tl", "shape", inside.alias("inside")))
+def _goes_on_inside(shape: str, at: int) -> bool:
+    return bool(re.match(r"\w|[\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]", shape[at]))
 
 
-def _begins(row: tuple, following: tuple) -> list[tuple]:
-    (tl, shape), (tl2, shape2) = row, following
-    if tl != tl2 or not shape2.startswith(shape) or len(shape2) == len(shape):
-        return []
-    return [("short", tl, shape, bool(re.match(r"\w|[\u0e31\u0e34-\u0e3a\u0e47-\u0e4e]", shape2[len(shape)])))]
+def _closed(text: list, pid: int, tl: str) -> list[tuple]:
+    return [("short", pid, tl, *text, None, None)] if text[2] else []
 
 
-def _rows(found: list[tuple], pid: int, edge) -> pa.RecordBatch:
-    rows = [*found, *([("first", *edge[0], None), ("last", *edge[1], None)] if edge else [])]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.string()), pa.array([pid] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.bool_())],
-        names=["kind", "pid", "tl", "shape", "inside"],
-    )
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names=[c.split()[0] for c in SHORTENED.split(", ")])
 
 
 def limits(marked: DataFrame) -> DataFrame:
-    """Lengths at which unfinished responses pile up. One row a length."""
+    """``chars, pile`` of lengths at which unfinished responses pile up. One row a length."""
     n = marked.where("doubt = 'cut' or (unfinished and defect = 'truncated')").groupBy("chars").agg(F.count("*").alias("n"))
     around = n.alias("x").join(n.alias("y"), F.expr("y.chars between x.chars - 5 and x.chars + 5 and y.chars <> x.chars"), "left").groupBy("x.chars", "x.n").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("near"))
-    return around.where(f"n >= {SPIKE_LEAST} and n > {SPIKE_TIMES} * greatest(near / 10, 1)").select("chars")
+    return around.where(f"n >= {SPIKE_LEAST} and n > {SPIKE_TIMES} * greatest(near / 10, 1)").select("chars", F.col("n").alias("pile"))
 
 
 def found(units: DataFrame, files: DataFrame, table: np.ndarray | None = None) -> DataFrame:
     """``unit_key, defect`` of every defective pair."""
     table = model_of(units, files) if table is None else table
-    marked = materialise(judged(tagged(units, files), table))
+    marked = materialise(judged(tagged(units, files), table).dropDuplicates(["unit_key"]))
     # canned answers: one response to many unlike sources of several languages
     by_shape = marked.where("response is not null and source_shape is not null").groupBy("response", "sl", "source_shape").agg(F.count("*").alias("n"))
     canned = by_shape.groupBy("response").agg(F.sum("n").alias("n"), F.count("*").alias("unlike"), F.countDistinct("sl").alias("languages"))
@@ -310,9 +339,11 @@ def found(units: DataFrame, files: DataFrame, table: np.ndarray | None = None) -
     copied = salted_join(copies, known, ["h"], F.col("unit_key")).select("unit_key", F.lit("copy").alias("defect"))
     # shortened responses
     shapes = marked.where("shape is not null").groupBy("tl", "shape").agg(F.count("*").alias("n"), F.max(F.col("doubt") == "cut").alias("doubted"))
-    shorts = shortened(shapes.where("tl is not null").select("tl", "shape")).groupBy("tl", "shape").agg(F.max("inside").alias("inside"))
-    rare = shapes.where("doubted").join(shorts, ["tl", "shape"]).where("inside or n <= 2").select("tl", "shape")
+    shorts = shapes.where("doubted").join(shortened(shapes.where("tl is not null").select("tl", "shape", "n")), ["tl", "shape"], "left")
+    rare = shorts.where(f"inside or n <= {CUT_SHARE} * longer").select("tl", "shape")
     cut = marked.where("doubt = 'cut'").select("unit_key", "tl", "shape", "chars").join(refused, "unit_key", "left_anti")
     short = salted_join(cut, rare, ["tl", "shape"], F.col("unit_key")).select("unit_key", F.lit("truncated").alias("defect"))
-    limited = cut.join(limits(marked), "chars").join(shapes.where("n <= 2").select("tl", "shape"), ["tl", "shape"], "left_semi").select("unit_key", F.lit("truncated").alias("defect"))
+    # where no longer response is known, one text must not be the pile by itself
+    alone = shorts.where("tl is not null and longer is null").select("tl", "shape", "n")
+    limited = salted_join(cut.join(limits(marked), "chars"), alone, ["tl", "shape"], F.col("unit_key")).where(f"n <= {PILE_SHARE} * pile").select("unit_key", F.lit("truncated").alias("defect"))
     return certain.unionByName(copied).unionByName(short).unionByName(limited).distinct()

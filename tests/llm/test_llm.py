@@ -188,6 +188,29 @@ def test_shortened_against_brute_force(spark):
     assert got == {(l, x) for l, x in words if any(l == m and y != x and y.startswith(x) for m, y in words)}
 
 
+def test_longer_responses_are_counted_across_ranges(spark):
+    rng = random.Random(7)
+    words = {("th", "".join(rng.choice("ab ") for _ in range(rng.randrange(1, 7)))): rng.randrange(1, 5) for _ in range(200)} | {("de", "a"): 2, ("de", "ab"): 3}
+    df = spark.createDataFrame([(*k, n) for k, n in sorted(words.items())], "tl string, shape string, n bigint")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["tl"], r["shape"]): r["longer"] for r in pairs.shortened(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = {(l, x): sum(n for (m, y), n in words.items() if m == l and y != x and y.startswith(x)) for l, x in words}
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_cuts_are_judged_by_their_share(spark):
+    source, whole, part = "Import the file {} now.", "นำเข้าไฟล์ {} ไปยังโครงการ แล้วเลือกภาษาที่ต้องการแปล", "นำเข้าไฟล์ {} ไปยังโครงการ"
+    for times in (1, 10):
+        units = [(k, 1, source.format(f"a{k}.html"), (part if k < times else whole).format(f"a{k}.html"), "yes") for k in range(8 * times)]
+        df = spark.createDataFrame(units + units[:1] * 5, "unit_key bigint, file_id bigint, source string, target string, approved string")
+        files = spark.createDataFrame([(1, "en", "th")], "file_id bigint, source_language string, target_language string")
+        assert sorted(rows(pairs.found(df, files))) == [(k, "truncated") for k in range(times)]
+
+
 # mixing ------------------------------------------------------------------------------------------------------------
 
 
