@@ -75,12 +75,9 @@ def best_match(s, d):
 
 
 def ice_match(s, d):
-    """Files of one pair of languages, the even ones older: units leveraged from the older to the newer where the shapes of
-    the texts agree, names and numbers aside."""
-    f = _langs(s, d).where("sl is not null and tl is not null").select("file_id", F.concat_ws("-", "sl", "tl").alias("pair"))
-    shape = F.regexp_replace(F.regexp_replace("source", "[A-Z][a-z]+", "N"), "[0-9]+", "0")
-    u = leverage.in_context(units(s, d).withColumn("source", shape)).join(f, "file_id").withColumn("original", F.col("pair"))
-    return leverage.leverage(u.where("file_id % 2 = 1"), u.where("file_id % 2 = 0"))
+    """Units of every delivery leveraged from the earlier deliveries of its original."""
+    f = leverage.deliveries(table(s, d, "files")).select("file_id", "original", "delivery")
+    return leverage.from_earlier(leverage.in_context(units(s, d)).drop("original").join(f, "file_id"))
 
 
 def ice_applied(s, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from segforge import segmenter
 from segforge.functions import text as T
 from segforge.io import salted_join
+from segforge.plans import queries as core
 from segforge.operators import assemble, leverage, nested, rewrite, stats, validate
 from segforge.sources import lines, readers
 
@@ -77,6 +78,20 @@ def test_leverage_against_brute_force(spark):
     assert got == {a: b[2] for a, b in want.items()}
 
 
+def test_ice_match_takes_from_every_earlier_delivery(spark, tmp_path):
+    files = [(2, "o", 10), (4, "o", 30), (1, "o", 20), (3, "p", 40)]
+    units = [
+        (1, 2, "o", 0, "Anna has 3", "T1", "yes"), (2, 2, "o", 1, "end", "T2", "yes"), (3, 1, "o", 0, "Anna has 3", "T3", None), (4, 1, "o", 1, "end", None, None),
+        (5, 4, "o", 0, "Anna has 3", None, None), (6, 4, "o", 1, "End", None, None), (7, 3, "p", 0, "Anna has 3", None, None), (8, 3, "p", 1, "end", None, None), (9, 4, "o", 2, "end", "T9", "yes"), (10, 2, "o", 2, "Otto has 4", "T10", "yes"),
+    ]
+    spark.createDataFrame([(a, b, f"2024-01-{c}") for a, b, c in files], "file_id bigint, original string, received_at string").write.parquet(f"{tmp_path}/files.parquet")
+    rows_ = [(*u, None, None, None, "x") for u in [*units, units[3]]]
+    spark.createDataFrame(rows_, "unit_key bigint, file_id bigint, original string, seg_ord bigint, source string, target string, approved string, translate string, state string, state_qualifier string, loaded_at string").write.parquet(f"{tmp_path}/trans_units.parquet")
+    # 3: even to odd file, first in both, equal next text; 4: "end" is last in its file and has the same text before it; 5: the next text differs; 7, 8: other original
+    assert {tuple(r) for r in core.ice_match(spark, str(tmp_path)).collect()} == {(3, "T1"), (4, "T2")}
+    assert {r["unit_key"] for r in core.ice_applied(spark, str(tmp_path)).collect()} >= {3, 4}
+
+
 def test_path_root(spark):
     df = spark.createDataFrame([("p", "/a/b/x"), ("p", "/a/b/y"), ("q", "/a/b/x"), ("r", "/a/b"), ("r", "/a/b/c"), ("s", "x"), ("s", "y")], "k string, path string")
     assert dict(one(assemble.path_root(df, "path", "k"))) == {"p": "/a/b", "q": "/a/b/", "r": "/a/b/", "s": ""}
