@@ -61,8 +61,10 @@ OWN_AS = {
 MANY_BYTES = {"utf-8", "gb18030", "cp932", "euc_jp", "big5"}
 #: A decoding counts when it removes so many unheard-of trigrams, and so large a share of the changed characters.
 LEAST_GAIN, GAIN_SHARE, LEFT_SHARE = 2, 0.5, 0.5
-#: Share of unheard-of trigrams from which a text in its own script is looked at.
-STRANGE = 0.3
+#: A trigram is rare below this share of the count that a trigram of the language's sound text has on average; a text in its
+#: own script is looked at where so many rare ones follow each other, and is garbled where so many trigrams change and the new ones are
+#: likelier by so much (mean of logarithms). Shares, as the corpus holds the garbled texts too.
+RARE, RARE_RUN, LEAST_CHANGED, LIKELIER = 0.05, 4, 4, 3.0
 SWITCH, UNKNOWN_WORD = 2.0, -15.0
 
 
@@ -122,6 +124,7 @@ class Channels:
     def __init__(self, table: np.ndarray):
         k = len(ngrams.LANGUAGES)
         self.grams, self.word_counts = table[:k], table[k:]
+        self.usual = (self.grams.astype(np.float64) ** 2).sum(axis=1) / np.maximum(self.grams.sum(axis=1), 1)
         self.total, self.word_total = self.grams.sum(axis=1), self.word_counts.sum(axis=1)
 
     def bad(self, texts: list[str], row: int) -> list[int]:
@@ -131,6 +134,43 @@ class Channels:
         miss = (grams >= 0) & (self.grams[row][np.maximum(grams, 0)] == 0)
         return np.add.reduceat(miss.astype(np.int64), starts[:-1]).tolist()
 
+    def strange(self, texts: list[str], row: int) -> list[bool]:
+        """Whether each text has a run of rare trigrams, however common the rest of it is."""
+        codes, starts = ngrams.codes_of(texts)
+        grams = ngrams.trigrams(codes)
+        rare = np.concatenate([[0], np.cumsum((grams >= 0) & (codes > 127) & (self.grams[row][np.maximum(grams, 0)] < RARE * self.usual[row]))])
+        runs = np.zeros(len(codes), np.int64)
+        if len(codes) > RARE_RUN:
+            runs[: len(codes) - RARE_RUN + 1] = rare[RARE_RUN:] - rare[:-RARE_RUN] == RARE_RUN
+        return (np.add.reduceat(runs, starts[:-1]) > 0).tolist()
+
+    def respelt(self, text: str, lang: str) -> tuple[str, str] | None:
+        """As ``search`` for a text in which nothing is odd: the channel that makes its changed parts likeliest, or None."""
+        row = ngrams.ROW[lang]
+        tries, search, answer = {}, self.decodings(text, lang, False), None
+        while True:
+            try:
+                got = search.send(answer)
+            except StopIteration:
+                break
+            answer = None
+            if got is not None:
+                tries.setdefault(*got)
+        best, most = None, LIKELIER
+        old = self.cells(text)
+        for got, channel in tries.items():
+            new = self.cells(got)
+            away, come = np.setdiff1d(old, new), np.setdiff1d(new, old)
+            if len(away) >= LEAST_CHANGED and len(come) >= LEAST_CHANGED:
+                gain = np.log(self.grams[row][come] + 0.5).mean() - np.log(self.grams[row][away] + 0.5).mean()
+                if gain >= most and 3 * len(come) >= len(away):
+                    best, most = (got, channel), gain
+        return best
+
+    def cells(self, text: str) -> np.ndarray:
+        grams = ngrams.trigrams(ngrams.codes_of([text])[0])
+        return grams[grams >= 0]
+
     def likeliest(self, before: str, letters: list[str], row: int) -> str:
         """Of the fillings of a lost byte the one that the corpus knows best after ``before``."""
         codes, starts = ngrams.codes_of([(before + x)[-3:] for x in letters])
@@ -364,11 +404,13 @@ def judged(texts: DataFrame, table: np.ndarray) -> DataFrame:
                     doubtful.setdefault(lang, []).append(i)
             for lang, at in doubtful.items():
                 chosen = [values[i] for i in at]
-                miss = channels.bad(chosen, ngrams.ROW[lang])
-                for i, m in zip(at, miss):
-                    text = values[i]
-                    if m > STRANGE * max(1, len(text) - 2) and (got := channels.search(text, lang)):
-                        rows.append((keys[i], *got))
+                for i, looked_at in zip(at, channels.strange(chosen, ngrams.ROW[lang])):
+                    if looked_at:
+                        text = values[i]
+                        if (lang, text) not in known:
+                            known[lang, text] = channels.respelt(text, lang)
+                        if known[lang, text]:
+                            rows.append((keys[i], *known[lang, text]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["id", "restored", "channel"])
 
     return texts.select("id", "lang", "text").mapInArrow(run, "id bigint, restored string, channel string")

@@ -115,6 +115,21 @@ def test_garbled_cases(spark):
     assert mojibake.lost("vers?o do arquivo", "pt") and not mojibake.lost("What?! See a?b=c", "en") and mojibake.lost("?????? ??? 12", "ru")
 
 
+def test_garbled_into_letters_of_its_own_script(spark):
+    ru = "Администраторы могут поручить задачу нескольким переводчикам."
+    zh = "系统管理员"
+    koi = lambda t: t.encode("koi8_r").decode("cp1251")
+    part = koi("Администраторы могут поручить") + " задачу нескольким переводчикам."
+    wide = "系统管理员".encode("gb18030").decode("big5")
+    assert not any(mojibake.suspicious(t, lang) for t, lang in ((koi(ru), "ru"), (part, "ru"), (wide, "zh")))
+    units = [(i, 1, ru) for i in range(200)] + [(i, 2, zh) for i in range(200, 400)] + [(i, 1, part) for i in range(500, 503)] + [(503, 1, koi(ru)), (504, 2, wide), (505, 1, "Задача 12 готова.")]
+    df = spark.createDataFrame(units + units[-3:], "unit_key bigint, file_id bigint, source string")
+    files = spark.createDataFrame([(1, "ru-RU"), (2, "zh-CN")], "file_id bigint, source_language string")
+    got = {r["unit_key"]: r["restored"] for r in mojibake.restored(df, files).collect()}
+    assert got.keys() == {500, 501, 502, 503, 504} and {got[k] for k in range(500, 504)} == {ru} and got[504] == zh
+    assert {r["unit_key"] for r in mojibake.found(df, files).collect()} == got.keys()
+
+
 # sentences ---------------------------------------------------------------------------------------------------------
 
 
