@@ -1,11 +1,13 @@
 """Text that was read with the wrong character encoding: find it and restore it.
 
 A channel is a pair of encodings: the one by which the bytes were read and their own. For a suspicious text every
-channel of its language gives a byte lattice: the bytes behind its characters, with wildcards where a byte was lost
-(U+FFFD), and for each token or run of bytes the choice between leaving and decoding it. Viterbi search takes the
-path that the corpus' frequencies of words and character trigrams like best. A text counts as garbled if the best path
+channel of its language is tried. Between two one-byte encodings Viterbi search over the tokens leaves or decodes each, as the
+corpus' word frequencies like best. UTF-8 channels replace every well-formed sequence; one lost byte (U+FFFD) of it is
+filled by trigrams, more are given up. Channels of the other many-byte encodings decode the whole text. Texts of files without
+language are tried by UTF-8 channels only. A text counts as garbled if the best channel
 turns unheard-of sequences into common ones, or if it holds remains that sound text never has: replacement characters,
-C1 controls or question marks within words.
+C1 controls or question marks within words. A text in which nothing is odd counts if it has a run of rare trigrams and a channel
+makes the changed part far likelier.
 
 Frequencies come from all sources that look sound, hashed into a table of fixed size for each language.
 
