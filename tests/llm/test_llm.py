@@ -2,7 +2,9 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from segforge.llm import copies, lookalikes, mixing, mojibake, ngrams, pairs, queries, residue, sentences, tokens
 
@@ -244,14 +246,41 @@ def test_mixing(spark):
 # residue -----------------------------------------------------------------------------------------------------------
 
 
-def test_residue(spark):
-    docs = [
-        (1, "Dear {{name}}, thank you for choosing our service."), (2, "404 Not Found"), (3, "Please enable JavaScript to view this page."), (4, "Lorem ipsum dolor sit amet, consectetur elit."),
-        (5, "Writers mark a value with double braces, as in {{title}}."), (6, "The message “Page not found” is translated."), (7, 'key.a=Saved {{name}}\nkey.b=Gone %s'), (8, None), (9, " "), (10, "All is well here."), (2, "404 Not Found"),
-    ]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    assert sorted(r[0] for r in residue.found(df).collect()) == [1, 2, 2, 3, 4]
-    assert residue.kept(df).count() == len(docs) - 5
+def test_residue_edges(spark):
+    docs = [(1, None), (2, ""), (3, " \n\t"), (4, "All is well here."), (5, "x" * 300_000), (6, "key." + "k" * 200 + "=Saved {{name}}"), (6, "404 Not Found")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("k1", F.lit(1)).withColumn("p", F.lit("Lorem ipsum"))
+    assert {r[0] for r in residue.found(df).collect()} <= {6}
+    assert residue.found(df.limit(0)).count() == 0
+    assert {r[0] for r in residue.kept(df).collect()} >= {1, 2, 3, 4, 5}
+
+
+def test_residue_cut():
+    text = "- One thing. “Two!” Three 404\n\n404\nkey=A. B.\na_1.txt 三。四"
+    made = residue.Cut(pa.array([text, "", "x"]))
+    assert made.p.to_pylist() == ["One thing.", "“Two!”", "Three \x03", "\x03", "key=A. B.", "\x02 三。", "四", "x"]
+    assert made.formatted.to_pylist() == [False, False, False, True, True, False, False, False]
+    assert made.owner.tolist() == [0] * 7 + [2]
+    assert made.before.to_pylist()[:2] == ["", "One thing."] and made.after.to_pylist()[6:] == ["", ""]
+    many = residue.Cut(pa.array(["a\n" * 9, "a"]))
+    assert many.n.to_pylist() == [None] * 9 + [1] and many.before.to_pylist()[3] is None
+    k1, k2 = many.keys()
+    assert len(set(zip(k1.tolist(), k2.tolist()))) == 2
+
+
+def test_residue_is_learnt(spark):
+    """Rounds add records, and records whose trusted spellings are hidden from the fit are found all the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    table = residue.distinct_passages(docs).cache()
+    keys = residue.cut(docs).cache()
+    ids = lambda bad: {r[0] for r in keys.join(bad, ["k1", "k2"]).select("doc_id").distinct().collect()}
+    all_of = lambda t, rounds=residue.ROUNDS: ids(residue.scored(table, residue.fit(t, rounds)))
+    full, first = all_of(table), all_of(table, 0)
+    assert len(full - first) >= 30 and len(first - full) <= 2
+    trusted = ids(table.where("kind > 0"))
+    assert len(full - trusted) >= 150
+    half = table.withColumn("kind", F.when(F.col("k1") % 2 == 0, 0).otherwise(F.col("kind")))
+    hidden = ids(table.where("kind > 0 and k1 % 2 = 0"))
+    assert len(all_of(half) & hidden) >= 0.85 * len(hidden & full)
 
 
 # trigrams ----------------------------------------------------------------------------------------------------------
