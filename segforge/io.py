@@ -15,13 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores where the input has fewer files than there are cores (splits of one row group are empty but
-    for one); larger inputs are left as they are read, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder.
 
@@ -47,12 +40,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], row_id: Column, salts: int = 8, how: str = "inner") -> DataFrame:
-    """Equi-join in which one key may hold a large share of ``big``.
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], row_id: Column, salts: int = 8, how: str = "inner") -> DataFrame:
+    """Equi-join in which one key may hold a large share of ``big``; ``small`` must have unique keys. The result equals the plain join.
 
-    Rows of ``big`` with one key go to ``salts`` partitions, chosen by ``row_id``; ``small`` must have unique keys
-    and is replicated ``salts`` times. The result equals the plain join.
+    With adaptive execution (the default) it is the plain join: hot partitions of ``big`` are split at run time, and a side is
+    broadcast only if the planner finds it small. Sessions that switch this off get ``big`` spread by ``row_id`` over
+    ``salts`` partitions a key, against so many copies of ``small``.
     """
+    conf = big.sparkSession.conf
+    if all(conf.get(f"spark.sql.adaptive.{x}", "true") == "true" for x in ("enabled", "skewJoin.enabled")):
+        return big.join(small, on, how)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")
@@ -74,3 +71,6 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("segforge", os.path.relpath(full, root)))
     sc.addPyFile(archive)
     sc._segforge_shipped = True
+
+
+salted_join = skew_join

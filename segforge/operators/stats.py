@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segforge.io import salted_join
+from segforge.io import skew_join
 
 ORDER = ["file_order", "original", "file_id", "seg_ord", "unit_key"]
 
@@ -21,7 +21,7 @@ def repetitions(typed: DataFrame) -> DataFrame:
     key = F.xxhash64("source", "words", "untranslatable", "chars", "approved", "translated", "type")
     new = rows.where("type = 'new'").withColumn("k", key)
     firsts = new.groupBy("k", "source", "approved", "translated").agg(F.min(F.struct(*ORDER)).alias("first"))
-    joined = salted_join(new, firsts, ["k", "source", "approved", "translated"], F.col("unit_key"))
+    joined = skew_join(new, firsts, ["k", "source", "approved", "translated"], F.col("unit_key"))
     kind = F.when(F.col("first.unit_key") == F.col("unit_key"), "new").when(F.col("first.original") == F.col("original"), "rep-int").otherwise("rep-ext")
     return joined.withColumn("type", kind).select(*typed.columns).unionByName(rows.where("type <> 'new'").select(*typed.columns))
 
@@ -55,7 +55,7 @@ def word_vector(typed: DataFrame) -> DataFrame:
     t = typed.where("translatable")
     key = F.xxhash64("source")
     firsts = t.where("type = 'new'").groupBy("original", key.alias("k"), "source").agg(F.min(F.struct("file_id", "seg_ord", "unit_key")).alias("first"))
-    new = salted_join(t.where("type = 'new'").withColumn("k", key), firsts, ["original", "k", "source"], F.col("unit_key"))
+    new = skew_join(t.where("type = 'new'").withColumn("k", key), firsts, ["original", "k", "source"], F.col("unit_key"))
     new = new.withColumn("type", F.when(F.col("first.unit_key") == F.col("unit_key"), "new").otherwise("rep-int")).select(*t.columns)
     rows = new.unionByName(t.where("type <> 'new'"))
     names = {"new": "type = 'new'", "exact": "type = 'exact'", "repeated": "type = 'rep-int'", "b95": "type = '95'", "b85": "type = '85'", "b75": "type = '75'", "b50": "type = '50'", "all_words": "true", "approved": "approved", "translated": "translated", "ice": "type = 'ice'"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from segforge import segmenter
 from segforge.functions import text as T
-from segforge.io import salted_join
+from segforge.io import skew_join
 from segforge.plans import queries as core
 from segforge.operators import assemble, leverage, nested, rewrite, stats, validate
 from segforge.sources import lines, readers
@@ -118,11 +118,11 @@ def test_dates(spark):
     assert [r[0] for r in df.select(validate.date_valid(F.col("t"))).collect()] == [True, False, False, False]
 
 
-def test_salted_join_equals_join(spark):
+def test_skew_join_equals_join(spark):
     big = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
     small = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     for how in ("inner", "left"):
-        assert sorted(one(salted_join(big, small, ["k"], F.col("id"), how=how).select("id", "v")), key=str) == sorted(one(big.join(small, "k", how).select("id", "v")), key=str)
+        assert sorted(one(skew_join(big, small, ["k"], F.col("id"), how=how).select("id", "v")), key=str) == sorted(one(big.join(small, "k", how).select("id", "v")), key=str)
 
 
 def brute_targets(rec, payload):
