@@ -18,6 +18,7 @@ ignored. Where bytes are lost the restored text keeps U+FFFD unless the wildcard
 
 from __future__ import annotations
 
+import math
 import re
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segforge.io import salted_join
+from segforge.io import skew_join
 from segforge.llm import ngrams
 
 # Letters beyond ASCII that a language's own text uses.
@@ -43,13 +44,14 @@ ODD = {lang: re.compile(f"[^{COMMON}{letters}{TWINS}]|(?<=[^\\W\\d_])[‚„†
 ODD[None] = re.compile("[ÃÂÐÑØÙàâãäåæçèéÔΓ├┬ÄČĂРСЃЂ鈥\ufffd\x80-\x9f][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ\u00a0-¿ÇñºÑáíóú│┤╡╢╖╕╣║╗╝╜╛┐└┴┬├─┼╞╟]")
 LATIN_LETTERS = set("".join(LETTERS[x] for x in ("en", "de", "fr", "es", "pt"))) | set("«»¿¡ªº°§©®±µ·½×\xa0\xad")
 _WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uff61-\uff9f\ue000-\uf8ff]")
-_BYTES = re.compile("[\x00-\xff]*[\x80-\xff][\x00-\xff]*")
-_STRAY = re.compile("[\ue000-\uf8ff]")
+_HIGH, _HIGH_TRAILED = re.compile("[^\x00-\x7f]+"), re.compile("(?:[^\x00-\x7f]+[\x00-\x7f]?)+")
 CERTAIN = re.compile("[�\x80-\x84\x86-\x9f]")
 _LOST_INSIDE = re.compile(r"(?<=[^\W\d_])\?+(?=[^\W\d_])")
 _LOST_RUN = re.compile(r"\?{2,}")
 _LOST_LEAD = re.compile(r"(?:^|(?<=[\s(]))\?+(?=[^\W_])")
 _ADDRESS = re.compile(r"\S*(?:://|www\.|[=&/])\S*")
+#: Languages without spaces: what stands between spaces there is no word.
+UNSPACED = {"ja", "zh", "th"}
 #: Scripts in which whole words of question marks are the usual loss.
 OWN = {lang: re.compile(f"[{LETTERS[lang]}]") for lang in ("ru", "ja", "zh", "th", "ar", "hi")}
 # Encodings by which bytes are commonly misread, and the own encodings of each language's files.
@@ -68,6 +70,14 @@ LEAST_GAIN, GAIN_SHARE, LEFT_SHARE = 2, 0.5, 0.5
 #: likelier by so much (mean of logarithms). Shares, as the corpus holds the garbled texts too.
 RARE, RARE_RUN, LEAST_CHANGED, LIKELIER = 0.05, 4, 4, 3.0
 SWITCH, UNKNOWN_WORD = 2.0, -15.0
+#: What each byte after the first of a complete sequence is worth by itself, and ways that the search through a lattice keeps at each byte.
+WELL_FORMED, WAYS = 4.0, 4
+#: Channels are searched whose cheap view has at most so many unheard-of trigrams more than the best.
+NEAR = 0.5
+#: Encodings by which text may have been misread a second time.
+TWICE = ("cp1252", "mac_roman", "cp850")
+#: Share of the usual log odds from which a trigram is no more unheard-of.
+HEARD = 0.2
 
 
 @lru_cache(maxsize=None)
@@ -89,7 +99,15 @@ def bytes_by(encoding: str) -> dict[str, int]:
 def byte_view(encoding: str) -> dict[int, int | str]:
     """Translation of text to its bytes as Latin-1; what the encoding doesn't have leaves that range."""
     view: dict[int, int | str] = {b: chr(0xE200 + b) for b in range(0x80, 0x100)} | {ord(c): b for c, b in bytes_by(encoding).items()}
-    return view | {0xFFFD: "\ue000"}
+    return view | {0xFFFD: 0xFF}
+
+
+def _utf8(sequence: str) -> str:
+    """One sequence given as Latin-1."""
+    try:
+        return sequence.encode("latin-1").decode("utf-8")
+    except UnicodeError:
+        return "\ufffd"
 
 
 @lru_cache(maxsize=None)
@@ -120,27 +138,100 @@ def letter_map(read_as: str, own: str) -> dict[int, str]:
     return out
 
 
+LOST, NONE = -1, -2
+
+
+@lru_cache(maxsize=1 << 16)
+def _bytes_of(c: str, encoding: str) -> list[int]:
+    """Bytes of a character by an encoding; U+FFFD stands for one lost byte."""
+    if c == "\ufffd":
+        return [LOST]
+    if encoding not in MANY_BYTES:
+        return [bytes_by(encoding).get(c, NONE)]
+    try:
+        return list(c.encode(encoding))
+    except UnicodeEncodeError:
+        return [NONE]
+
+
+@lru_cache(maxsize=1 << 16)
+def _decodable(data: tuple[int, ...], own: str, lang: str) -> list[tuple[int, str]]:
+    """(number of bytes, characters) that begin the given bytes; lost bytes stand for any that give a letter of the language."""
+    out = []
+    for size in (1, 2, 3, 4) if own == "utf-8" else (1, 2, 4) if own == "gb18030" else (1, 2, 3) if own == "euc_jp" else (1, 2):
+        part = data[:size]
+        if len(part) < size or NONE in part or (part[0] == LOST and size == 1):
+            continue
+        if LOST not in part:
+            try:
+                c = bytes(part).decode(own)
+            except UnicodeDecodeError:
+                continue
+            if len(c) == 1:
+                out.append((size, c))
+        elif own == "utf-8" and (letters := _spellings(lang).get(size, {}).get(part)):
+            out.append((size, letters))
+    return out
+
+
+@lru_cache(maxsize=None)
+def _spellings(lang: str) -> dict[int, dict[tuple[int, ...], str]]:
+    """By number of bytes: UTF-8 spellings with lost bytes, one known byte at least, and the letters of a language that they may be."""
+    known: dict[int, dict[tuple[int, ...], list[str]]] = {}
+    letter = re.compile(f"[{LETTERS[lang]}{COMMON}]")
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if not letter.match(c):
+            continue
+        data = c.encode("utf-8")
+        for mask in range(1, (1 << len(data)) - 1):
+            known.setdefault(len(data), {}).setdefault(tuple(LOST if mask >> k & 1 else b for k, b in enumerate(data)), []).append(c)
+    return {size: {k: "".join(v) for k, v in table.items()} for size, table in known.items()}
+
+
+def _best(ways: list[tuple]) -> list[tuple]:
+    """The best ways, one of each context and state."""
+    if len(ways) == 1:
+        return ways
+    top: dict[tuple, tuple] = {}
+    for x in ways:
+        at = x[1:3]
+        if at not in top or (x[0], x[3]) > (top[at][0], top[at][3]):
+            top[at] = x
+    return sorted(top.values(), key=lambda x: (-x[0], x[3]))[:WAYS]
+
+
 class Channels:
     """Search over channels for the texts of a batch."""
 
     def __init__(self, table: np.ndarray):
         k = len(ngrams.LANGUAGES)
         self.grams, self.word_counts = table[:k], table[k:]
-        self.usual = (self.grams.astype(np.float64) ** 2).sum(axis=1) / np.maximum(self.grams.sum(axis=1), 1)
-        self.total, self.word_total = self.grams.sum(axis=1), self.word_counts.sum(axis=1)
-
-    def bad(self, texts: list[str], row: int) -> list[int]:
-        """Number of unheard-of trigrams of each text."""
+        self.steps: dict[tuple, float] = {}
+        total, words = self.grams.sum(axis=1), self.word_counts.sum(axis=1)
+        self.usual = (self.grams.astype(np.float64) ** 2).sum(axis=1) / np.maximum(total, 1)
+        self.total, self.word_total = total, words
+        # what a cell holds by chance: 0 in small corpora, more where the corpus fills all cells
+        self.noise, self.word_noise = np.median(self.grams, axis=1), np.median(self.word_counts, axis=1)
+        self.span = np.maximum(np.log((self.usual + 0.5) / (self.noise + 0.5)), 0.1)
+
+    def odds(self, cells: np.ndarray, row: int) -> np.ndarray:
+        """Log odds of trigrams against chance, 0 where they are no commoner than that; 0 for places that are none."""
+        n = np.where(cells >= 0, self.grams[row][np.maximum(cells, 0)], 0)
+        return np.maximum(np.log((n + 0.5) / (self.noise[row] + 0.5)), 0.0)
+
+    def bad(self, texts: list[str], row: int) -> list[float]:
+        """Unheard-of trigrams of each text: 1 for one that is no commoner than chance, 0 from ``HEARD`` of the usual log odds on."""
         codes, starts = ngrams.codes_of(texts)
         grams = ngrams.trigrams(codes)
-        miss = (grams >= 0) & (self.grams[row][np.maximum(grams, 0)] == 0)
-        return np.add.reduceat(miss.astype(np.int64), starts[:-1]).tolist()
+        miss = np.where(grams >= 0, np.maximum(1.0 - self.odds(grams, row) / (HEARD * self.span[row]), 0.0), 0.0)
+        return np.add.reduceat(miss, starts[:-1]).tolist()
 
     def strange(self, texts: list[str], row: int) -> list[bool]:
         """Whether each text has a run of rare trigrams, however common the rest of it is."""
         codes, starts = ngrams.codes_of(texts)
         grams = ngrams.trigrams(codes)
-        rare = np.concatenate([[0], np.cumsum((grams >= 0) & (codes > 127) & (self.grams[row][np.maximum(grams, 0)] < RARE * self.usual[row]))])
+        rare = np.concatenate([[0], np.cumsum((grams >= 0) & (codes > 127) & (self.grams[row][np.maximum(grams, 0)] < max(RARE * self.usual[row], 1.5 * self.noise[row])))])
         runs = np.zeros(len(codes), np.int64)
         if len(codes) > RARE_RUN:
             runs[: len(codes) - RARE_RUN + 1] = rare[RARE_RUN:] - rare[:-RARE_RUN] == RARE_RUN
@@ -173,20 +264,13 @@ class Channels:
         grams = ngrams.trigrams(ngrams.codes_of([text])[0])
         return grams[grams >= 0]
 
-    def likeliest(self, before: str, letters: list[str], row: int) -> str:
-        """Of the fillings of a lost byte the one that the corpus knows best after ``before``."""
-        codes, starts = ngrams.codes_of([(before + x)[-3:] for x in letters])
-        grams = ngrams.trigrams(codes)[starts[:-1]]
-        counts = np.where(grams >= 0, self.grams[row][np.maximum(grams, 0)], 0)
-        return letters[int(counts.argmax())] if counts.max() > 0 else "�"
-
     def word_scores(self, words: list[str], row: int) -> list[float]:
         codes, starts = ngrams.codes_of(words)
         h, at = ngrams.words(codes)
         score = np.full(len(words), UNKNOWN_WORD)
         which = np.searchsorted(starts, at, side="right") - 1
         n = self.word_counts[row][h]
-        score[which] = np.where(n > 0, np.log(np.maximum(n, 1) / max(1, self.word_total[row])), UNKNOWN_WORD)
+        score[which] = np.where(n > 1.5 * self.word_noise[row], np.log(np.maximum(n, 1) / max(1, self.word_total[row])), UNKNOWN_WORD)
         miss = self.bad(words, row)
         return [s - 1.5 * m if s == UNKNOWN_WORD else s for s, m in zip(score, miss)]
 
@@ -214,51 +298,114 @@ class Channels:
         turn = {i for i, s in zip(open_, reversed(path)) if s}
         return "".join((decoded if i in turn else text)[a:b] for i, (a, b) in enumerate(spans))
 
-    def from_utf8(self, text: str, read_as: str, row: int) -> str | None:
-        if read_as in MANY_BYTES:
-            parts = [p.encode(read_as, "replace") for p in text.split("�")]
-            seen = b"\xff".join(parts).decode("latin-1")
-            got = _SPELT_BYTES.sub(lambda m: self.sequence(m.group(), seen[max(0, m.start() - 2) : m.start()], row), seen)
-            left = sum("\x80" <= c <= "\xff" and c not in LATIN_LETTERS for c in got)
-            return None if got == seen or left > len(got) // 8 else re.sub("[\x80-\x9f\xff]+", "�", got)
-        pattern = spelt(read_as)
-        if not pattern.search(text):
-            return None
-        view = byte_view(read_as)
-        return pattern.sub(lambda m: self.sequence(m.group().translate(view).replace("\ue000", "\xff"), text[max(0, m.start() - 2) : m.start()], row), text)
-
-    def sequence(self, raw: str, before: str, row: int) -> str:
-        """One UTF-8 sequence given as Latin-1, with \xff for a lost byte."""
-        lost_at = raw.count("\xff")
-        if lost_at > 1:
-            return "�"
-        letters = []
-        for data in [raw] if not lost_at else [raw.replace("\xff", chr(x)) for x in range(0x80, 0xC0)]:
+    def lattice(self, text: str, read_as: str, own: str, row: int) -> str | None:
+        """The likeliest mixture of kept and decoded characters; None where nothing can be decoded. Each damaged span is a
+        lattice over its bytes with wildcards for lost ones; Viterbi search goes by the trigrams, and the words that the best
+        ways give are told by their frequencies."""
+        out, done = [], 0
+        for m in (_HIGH if own == "utf-8" else _HIGH_TRAILED).finditer(text):
+            if m.start() < done:
+                continue
+            out.append(text[done : m.start()])
+            before = "".join(out[-2:])[-2:]
+            out.append(self.span_of(m.group(), before, text[m.end() : m.end() + 1], read_as, own, row))
+            done = m.end()
+        got = "".join(out) + text[done:]
+        return got if got != text else None
+
+    def span_of(self, span: str, before: str, after: str, read_as: str, own: str, row: int) -> str:
+        data: list[int] = []  # a byte, LOST, or NONE where the character has none
+        begins: dict[int, str] = {}
+        for c in span:
+            begins[len(data)] = c
+            data += _bytes_of(c, read_as)
+        n = len(data)
+        if own == "utf-8" and min(data) >= 0:
             try:
-                letters.append(data.encode("latin-1").decode("utf-8"))
+                return bytes(data).decode("utf-8")  # every sequence is whole: one way only has no bytes left over
             except UnicodeDecodeError:
                 pass
-        if not letters:
-            return raw if not lost_at else "�"
-        return letters[0] if len(letters) == 1 and not lost_at else self.likeliest(before, letters, row)
+        ways: list[list[tuple]] = [[] for _ in range(n + 1)]
+        ways[0] = [(0.0, ("  " + before)[-2:], False, "")]
+        for i in range(n):
+            if not ways[i]:
+                continue
+            best = ways[i] = _best(ways[i])
+            c = begins.get(i)
+            if c is not None:
+                j = i + len(_bytes_of(c, read_as))
+                ways[j] += [(s + self.step(w, c, row) - (SWITCH if turned else 0.0), (w + c)[-2:], False, t + c) for s, w, turned, t in best]
+            for size, letters in _decodable(tuple(data[i : i + 4]), own, ngrams.LANGUAGES[row]):
+                if c is not None and c < "\x80" and size == 1:
+                    continue  # kept above
+                sure = len(letters) == 1
+                for s, w, turned, t in best:
+                    s -= 0.0 if turned or not t else SWITCH
+                    found = [(s + self.step(w, x, row) + (WELL_FORMED * (size - 1) if sure else 0.0), (w + x)[-2:], True, t + x) for x in letters]
+                    ways[i + size] += _best(found) if not sure else found
+        if not ways[n]:
+            return span
+        ends = _best(ways[n])
+        if after:
+            ends = [(s + self.step(w, after, row), w, turned, t) for s, w, turned, t in ends]
+        top = max(x[0] for x in ends)
+        ends = [x for x in ends if x[0] > top + 0.5 * UNKNOWN_WORD]
+        if len(ends) > 1:  # the words decide among the best ways
+            known = self.word_scores([(before.rpartition(" ")[2] + t) or " " for _, _, _, t in ends], row)
+            ends = [(s + 0.5 * (k - UNKNOWN_WORD) * (k > UNKNOWN_WORD), *rest) for (s, *rest), k in zip(ends, known)]
+        return max(ends, key=lambda x: (x[0], x[3]))[3]
+
+    def step(self, before: str, c: str, row: int) -> float:
+        """Log odds of a character after two others."""
+        at = (row, before, c)
+        got = self.steps.get(at)
+        if got is None:
+            if len(self.steps) > 500_000:
+                self.steps.clear()
+            n = self.grams[row, ngrams.trigram_of((before + c).lower())]
+            got = self.steps[at] = max(math.log((n + 0.5) / (self.noise[row] + 0.5)), 0.0)
+        return got
+
+    def straight(self, text: str, read_as: str, own: str) -> str | None:
+        """The text with every whole sequence decoded, lost bytes left lost: a cheap view by which channels are ranked."""
+        if own == "utf-8" and read_as not in MANY_BYTES:
+            pattern = spelt(read_as)
+            return pattern.sub(lambda m: _utf8(m.group().translate(byte_view(read_as))), text) if pattern.search(text) else None
+        if read_as in MANY_BYTES:
+            seen = b"\xff".join(p.encode(read_as, "replace") for p in text.split("\ufffd"))
+        else:
+            seen = text.translate(byte_view(read_as)).encode("latin-1", "replace")
+        if own == "utf-8":
+            view = seen.decode("latin-1")
+            return _SPELT_BYTES.sub(lambda m: _utf8(m.group()), view) if _SPELT_BYTES.search(view) else None
+        return seen.decode(own, "replace")
+
+    def likely(self, text: str, channels: list[tuple[str, str]], row: int) -> list[tuple[str, str]]:
+        """The channels whose cheap view is heard of most, ties included."""
+        views = [(got, c) for c in channels if (got := self.straight(text, *c)) is not None and got != text]
+        views = list({got: (got, c) for got, c in reversed(views)}.values())[::-1]  # equal views: the first channel
+        views += [(again, c) for got, c in views if c[1] == "utf-8" for x in TWICE if (again := self.straight(got, x, "utf-8")) is not None]
+        if not views:
+            return []
+        misses = self.bad([got for got, _ in views], row)
+        least = min(misses)
+        return list(dict.fromkeys(c for m, (_, c) in zip(misses, views) if m <= least + NEAR))
 
     def decodings(self, text: str, lang: str, only_utf8: bool):
         """(decoded text, channel) by each channel that the text's odd characters allow."""
         row = ngrams.ROW[lang]
         odd = ODD[lang].findall(text)
         wide = bool(_WIDE.search(text))
-        for read_as in READ_AS:
-            if (read_as in MANY_BYTES) != wide and read_as in MANY_BYTES:
-                continue
-            got = self.from_utf8(text, read_as, row)
-            if got is not None and got != text:
+        for read_as, own in self.likely(text, [(x, "utf-8") for x in READ_AS if x not in MANY_BYTES or wide], row):
+            got = self.lattice(text, read_as, own, row)
+            if got is not None:
                 yield got, f"utf-8 read as {read_as}"
-                for again_as in ("cp1252", "mac_roman", "cp850"):
-                    if (again := self.from_utf8(got, again_as, row)) is not None and again != got:
+                for again_as in TWICE:
+                    if spelt(again_as).search(got) and (again := self.lattice(got, again_as, "utf-8", row)) is not None:
                         yield again, f"utf-8 read as {read_as}, twice"
         if only_utf8 or (yield None):
             return
-        high = sum(c > "\x7f" for c in text)
+        high, several = sum(c > "\x7f" for c in text), []
         for own in OWN_AS[lang]:
             if own == "utf-8":
                 continue
@@ -274,22 +421,16 @@ class Channels:
                         if sum(t == c or bool(ODD[lang].match(t)) for t, c in zip(turned, odd)) > len(odd) // 4:
                             continue
                     got = self.tokens(text, letters, row)
-                elif high < 4:
-                    continue
-                elif read_as in MANY_BYTES:
-                    try:
-                        got = text.encode(read_as).decode(own)
-                    except UnicodeError:
-                        continue
                 else:
-                    seen = text.translate(byte_view(read_as))
-                    if sum(c >= "\ue200" and c <= "\ue2ff" for c in seen) > high // 4:
-                        continue
-                    got = _BYTES.sub(lambda m: m.group().encode("latin-1").decode(own, "replace"), seen)
-                    if got.count("�") > max(1, len(got) // 10) or _STRAY.search(got):
-                        continue
+                    if read_as in MANY_BYTES or 4 * sum(_bytes_of(c, read_as)[0] < 0 for c in text if "\x7f" < c <= "\xff") <= high:
+                        several.append((read_as, own))
+                    continue
                 if got != text:
                     yield got, f"{own} read as {read_as}"
+        for read_as, own in self.likely(text, several, row):
+            got = self.lattice(text, read_as, own, row)
+            if got is not None and got.count("\ufffd") <= max(1, len(got) // 10):
+                yield got, f"{own} read as {read_as}"
 
     def search(self, text: str, lang: str | None) -> tuple[str, str] | None:
         """(restored text, channel) of the best channel, or None if no channel makes sense of the text."""
@@ -326,6 +467,8 @@ class Channels:
 
     def knows(self, text: str, got: str, row: int) -> bool:
         """Whether the changed words, of three characters at least, are far likelier words of the corpus than before."""
+        if ngrams.LANGUAGES[row] in UNSPACED:
+            return False
         before, after = text.split(), got.split()
         new = [w for w in set(after) - set(before) if len(w) >= 3]
         old = [w for w in set(before) - set(after) if len(w) >= 3]
@@ -346,7 +489,7 @@ class Channels:
                 return m.group()
             a, b = m.string[max(0, m.start() - 2) : m.start()], m.string[m.end() : m.end() + 2]
             misses = self.bad([a + x + b for x in letters], row)
-            return letters[int(np.argmin(misses))] if min(misses) == 0 else "?"
+            return letters[int(np.argmin(misses))] if min(misses) < 0.5 else "?"
 
         return _LOST_INSIDE.sub(best, text)
 
@@ -420,11 +563,11 @@ def judged(texts: DataFrame, table: np.ndarray) -> DataFrame:
 
 def restored(units: DataFrame, files: DataFrame, table: np.ndarray | None = None) -> DataFrame:
     """``unit_key, restored, channel`` of every unit whose source is wholly or partly garbled."""
-    langs = files.select(F.col("file_id").cast("bigint"), ngrams.primary(F.col("source_language")).alias("lang")).groupBy("file_id").agg(F.first("lang").alias("lang"))
+    langs = files.select(F.col("file_id").cast("bigint"), ngrams.primary(F.col("source_language")).alias("lang")).groupBy("file_id").agg(F.min("lang").alias("lang"))
     slim = units.select(F.col("unit_key").cast("bigint").alias("id"), F.col("file_id").cast("bigint"), F.col("source").alias("text")).where("text is not null and text <> ''")
-    texts = salted_join(slim, langs, ["file_id"], F.col("id"), how="left").select("id", "lang", "text")
+    texts = skew_join(slim, langs, ["file_id"], F.col("id"), how="left").select("id", "lang", "text")
     table = learn(texts) if table is None else table
-    return judged(texts, table).groupBy(F.col("id").alias("unit_key")).agg(F.first("restored").alias("restored"), F.first("channel").alias("channel"))
+    return judged(texts, table).groupBy(F.col("id").alias("unit_key")).agg(F.min(F.struct("restored", "channel")).alias("r")).select("unit_key", "r.restored", "r.channel")
 
 
 def found(units: DataFrame, files: DataFrame) -> DataFrame:
