@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from segforge.plans import formats, oracle_nested
+from segforge.plans import formats, inline, oracle_nested
 
 # The same character classes as in the text functions, spelt for this dialect.
 _BREAKS = r"[ \t\r\n()?\x{00A0}\x{3001}\x{3002}\x{FF1A}\x{FF01}\x{FF1F}\x{4ECB}]+"
@@ -155,4 +155,4 @@ def oracle_sql() -> dict[str, str]:
         "shared_sources": f"with {_U} select count(*) as n from (select source from u where source is not null intersect select source from alt_trans where source is not null)",
         "revenue_rollup": "select l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem group by rollup(l_returnflag, l_linestatus)",
     }
-    return sql | oracle_nested.oracle_sql() | formats.oracle_sql()
+    return sql | oracle_nested.oracle_sql() | formats.oracle_sql() | inline.oracle_sql()

@@ -11,7 +11,7 @@ from segforge.functions import text as T
 from segforge.io import table
 from segforge.operators import assemble, leverage, nested, rewrite, stats, validate
 from segforge.operators.units import best_quality, matches, typed, units
-from segforge.plans import formats
+from segforge.plans import formats, inline
 from segforge.sources import lines
 
 BOM = 8  # size of the bars of status reports
@@ -376,4 +376,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         subtitle_parse, po_parse, properties_parse, status_history, status_codec, status_bars, merge_adjacent, renumber_ids, slide_sort, tag_multiset_diff, inherit_translate, filter_values, key_scope_resolve,
         unit_regroup, metadata_pivot, language_directions, encoding_names, target_names, originals_without_params, shared_sources, revenue_rollup, p3_found, p3_files, p3_groups, p3_units, p3_targets,
     ]
-    return {f.__name__: f for f in named} | formats.queries()
+    return {f.__name__: f for f in named} | formats.queries() | inline.queries()
