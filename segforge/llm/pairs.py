@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segforge.io import materialise, salted_join
+from segforge.io import materialise, skew_join
 from segforge.llm import ngrams
 
 # Signs for "nothing here", besides strings without any letter or digit.
@@ -63,6 +64,8 @@ _QUOTE = re.compile("[«“„「『\"‘]")
 _LABEL = re.compile(r"^[^\W\d_]{1,14}\s?[:：]\s*")
 _DIGITS = re.compile(r"\d+")
 _LATIN = re.compile(r"[A-Za-z0-9_.\-]+")
+_NAMES = re.compile(r"\S*\d\S*|(?<=\W)[A-ZÀ-ÖØ-ÞĄĆĘŁŃŒŚŸŹŻ]\w*")
+_MASKED = re.compile(r"w(?:\W w)+(?!\w)|w(?: w)+(?!\w)")
 _CODE = re.compile(r"<[^>]*>|\{[^}]*\}|%\S+|https?://\S+|\S+@\S+|\b[\w\-]+\.[A-Za-z]{1,10}\b|\S*\d\S*")
 _SMALL_WORD = re.compile(r"(?<!\w)[^\W\d_]*[a-zà-öø-ÿāăąćčďđēėęěğģīįıķļłńņňōőœřśşšţťūůűųźżž][^\W\d_]*", re.U)
 _OWN_SCRIPT = re.compile("[Ѐ-ӿ\u0600-ۿ\u0900-ॿ\u0e00-\u0e7f\u3040-ヿ㐀-鿿]")
@@ -75,6 +78,8 @@ SPIKE_TIMES, SPIKE_LEAST = 4.0, 8
 #: A text is a cut one if its units are at most such a share of those of the longer responses that go on from it; at a length
 #: limit, where none is known, of those that end there.
 CUT_SHARE, PILE_SHARE = 1.0, 0.25
+#: Share of responses with a mark from which a language has the habit.
+HABIT = 0.8
 
 
 def key_of(text: str) -> str:
@@ -95,9 +100,9 @@ def source_skeleton(text: str) -> str:
 
 
 def masked(text: str, lang: str | None) -> str:
-    """For sorting: digits masked, and foreign words in scripts other than Latin."""
+    """For sorting: names and what holds digits masked; in scripts other than Latin all Latin words are."""
     bare = text.strip()
-    return _LATIN.sub("w", bare) if _OWN_SCRIPT.search(bare) else _DIGITS.sub("0", bare)
+    return _MASKED.sub("w", _LATIN.sub("w", bare) if _OWN_SCRIPT.search(bare) else _NAMES.sub("w", bare))
 
 
 def refuses(text: str) -> bool:
@@ -121,7 +126,7 @@ def is_copy(source: str, target: str) -> bool:
         return False
     if a == b:
         return True
-    if len(a) < 8 or a not in b:
+    if a not in b:
         return False
     rest = b.replace(a, "")
     return not rest or (len(a) >= 15 and len(rest) <= len(a) // 5) or (rest == b[: len(rest)] and key_of(_LABEL.sub("", target.strip())) == a)
@@ -141,6 +146,16 @@ def ends(text: str) -> bool:
     return bool(bare) and bare[-1] in TERMINAL
 
 
+def finished(text: str) -> bool:
+    """Ends like a sentence, perhaps before a number at the very end."""
+    return ends(text) or (text.rstrip()[-1:] in "0123456789)]" and ends(_TAIL.sub("", text.rstrip())))
+
+
+def habit_of(lang: str | None, text: str) -> str:
+    """Whose habits a text may have: its language's or, without one, those of its first letter's block."""
+    return lang or f"{next((ord(c) >> 8 for c in text if c.isalpha()), 0):x}"
+
+
 def sentence_like(text: str | None) -> bool:
     """Ends like a sentence or, in unmarked languages, is too long for a title."""
     if not text:
@@ -181,13 +196,8 @@ class Judge:
                     yield "wrong_language", "canned", None
                 elif s and ELLIPSIS.search(t.rstrip()) and not ELLIPSIS.search(s.rstrip()) and sentence_like(s):
                     yield "truncated", "canned", None
-                elif sentence_like(s) and not ends(t):
-                    if b in UNMARKED or (b is None and re.search("[\u0e00-\u0e7f]", t)):
-                        yield None, "cut", masked(t, b)
-                    elif ends(s):
-                        yield "truncated", "canned", None
-                    else:
-                        yield None, "cut", masked(t, b)
+                elif sentence_like(s) and not finished(t):
+                    yield None, "cut", masked(t, b)
                 else:
                     yield None, "canned", None
 
@@ -195,20 +205,18 @@ class Judge:
 def tagged(units: DataFrame, files: DataFrame) -> DataFrame:
     """Approved pairs with the primary subtags of their file's languages."""
     pairs = units.where("approved = 'yes'").select(F.col("unit_key").cast("bigint"), F.col("file_id").cast("bigint"), "source", "target")
-    langs = files.select(F.col("file_id").cast("bigint"), ngrams.primary(F.col("source_language")).alias("sl"), ngrams.primary(F.col("target_language")).alias("tl")).groupBy("file_id").agg(F.first("sl").alias("sl"), F.first("tl").alias("tl"))
-    return salted_join(pairs, langs, ["file_id"], F.col("unit_key"), how="left").select("unit_key", "sl", "tl", "source", "target")
+    langs = files.select(F.col("file_id").cast("bigint"), ngrams.primary(F.col("source_language")).alias("sl"), ngrams.primary(F.col("target_language")).alias("tl")).groupBy("file_id").agg(F.min("sl").alias("sl"), F.min("tl").alias("tl"))
+    return skew_join(pairs, langs, ["file_id"], F.col("unit_key"), how="left").select("unit_key", "sl", "tl", "source", "target")
 
 
 def model_of(units: DataFrame, files: DataFrame) -> np.ndarray:
     """Trigram counts of all sources under their file's language."""
-    langs = files.select(F.col("file_id").cast("bigint"), ngrams.primary(F.col("source_language")).alias("lang")).where("lang is not null").groupBy("file_id").agg(F.first("lang").alias("lang"))
-    texts = salted_join(units.select(F.col("file_id").cast("bigint"), F.col("unit_key"), F.col("source").alias("text")).where("text is not null"), langs, ["file_id"], F.col("unit_key"))
+    langs = files.select(F.col("file_id").cast("bigint"), ngrams.primary(F.col("source_language")).alias("lang")).where("lang is not null").groupBy("file_id").agg(F.min("lang").alias("lang"))
+    texts = skew_join(units.select(F.col("file_id").cast("bigint"), F.col("unit_key"), F.col("source").alias("text")).where("text is not null"), langs, ["file_id"], F.col("unit_key"))
     return ngrams.table_of(ngrams.counts(texts))
 
 
-JUDGED = "unit_key bigint, tl string, defect string, doubt string, h bigint, shape string, response bigint, source_shape bigint, sl string, chars int, unfinished boolean, skey bigint, differs boolean"
-#: Longest source of which it is counted how often it is translated; longer ones plainly have words.
-TITLE = 60
+JUDGED = "unit_key bigint, tl string, defect string, doubt string, h bigint, shape string, response bigint, source_shape bigint, sl string, chars int, unfinished boolean, skey bigint, differs boolean, closed boolean, habit string"
 
 
 def judged(pairs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -224,7 +232,7 @@ def judged(pairs: DataFrame, table: np.ndarray) -> DataFrame:
             keys, sl, tl, sources, targets = (c.to_pylist() for c in batch.columns)
             rows = list(judge.judge(sources, targets, sl, tl))
             shapes = [k if d == "cut" else None for _, d, k in rows]
-            titles = [key_of(s) if s and len(s) <= TITLE and a != b and d not in ("empty", "refusal") and not ends(s) else None for s, a, b, (d, _, _) in zip(sources, sl, tl, rows)]
+            titles = [key_of(s) if s and a != b and d not in ("empty", "refusal") else None for s, a, b, (d, _, _) in zip(sources, sl, tl, rows)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys, pa.int64()), pa.array(tl, pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
@@ -233,9 +241,11 @@ def judged(pairs: DataFrame, table: np.ndarray) -> DataFrame:
                     pa.array([int(h(skeleton(t))) if t and d in ("canned", "cut") else None for t, (_, d, _) in zip(targets, rows)], pa.int64()),
                     pa.array([int(h(source_skeleton(s))) if s and d in ("canned", "cut") else None for s, (_, d, _) in zip(sources, rows)], pa.int64()),
                     pa.array(sl, pa.string()), pa.array([len(t) if t else 0 for t in targets], pa.int32()),
-                    pa.array([bool(t) and not ends(t) for t in targets], pa.bool_()),
+                    pa.array([bool(t) and not finished(t) for t in targets], pa.bool_()),
                     pa.array([int(h(k)) if k else None for k in titles], pa.int64()),
                     pa.array([bool(k and t) and k != key_of(t) for k, t in zip(titles, targets)], pa.bool_()),
+                    pa.array([bool(s) and ends(s) for s in sources], pa.bool_()),
+                    pa.array([habit_of(b, t) if t else None for t, b in zip(targets, tl)], pa.string()),
                 ],
                 names=[c.split()[0] for c in JUDGED.split(", ")],
             )
@@ -317,33 +327,50 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 def limits(marked: DataFrame) -> DataFrame:
     """``chars, pile`` of lengths at which unfinished responses pile up. One row a length."""
     n = marked.where("doubt = 'cut' or (unfinished and defect = 'truncated')").groupBy("chars").agg(F.count("*").alias("n"))
-    around = n.alias("x").join(n.alias("y"), F.expr("y.chars between x.chars - 5 and x.chars + 5 and y.chars <> x.chars"), "left").groupBy("x.chars", "x.n").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("near"))
+    beside = n.select(F.explode(F.sequence(F.col("chars") - 5, F.col("chars") + 5)).alias("chars"), F.col("n").alias("m")).groupBy("chars").agg(F.sum("m").alias("m"))
+    around = n.join(beside, "chars").select("chars", "n", (F.col("m") - F.col("n")).alias("near"))
     return around.where(f"n >= {SPIKE_LEAST} and n > {SPIKE_TIMES} * greatest(near / 10, 1)").select("chars", F.col("n").alias("pile"))
 
 
-def found(units: DataFrame, files: DataFrame, table: np.ndarray | None = None) -> DataFrame:
-    """``unit_key, defect`` of every defective pair."""
+def habits(marked: DataFrame) -> DataFrame:
+    """Languages in which responses to finished prompts are finished by a mark as a rule."""
+    asked = marked.where("closed and defect is null and habit is not null").groupBy("habit")
+    return asked.agg(F.avg(F.col("unfinished").cast("double")).alias("share")).where(F.col("share") <= 1 - HABIT).select("habit")
+
+
+def explained(units: DataFrame, files: DataFrame, table: np.ndarray | None = None) -> DataFrame:
+    """``unit_key, defect, evidence`` of every defective pair. Truncation is told by a longer neighbour in the order of responses, else
+    by a length limit, else by the lack of a mark that the language's responses to such prompts have."""
     table = model_of(units, files) if table is None else table
     marked = materialise(judged(tagged(units, files), table).dropDuplicates(["unit_key"]))
     # canned answers: one response to many unlike sources of several languages
     by_shape = marked.where("response is not null and source_shape is not null").groupBy("response", "sl", "source_shape").agg(F.count("*").alias("n"))
     canned = by_shape.groupBy("response").agg(F.sum("n").alias("n"), F.count("*").alias("unlike"), F.countDistinct("sl").alias("languages"))
     canned = canned.where(f"n >= {CANNED_LEAST} and unlike >= {CANNED_SHARE} * n and unlike >= {CANNED_PER_LANGUAGE} * greatest(languages, 1)").select("response", F.lit(True).alias("is_canned"))
-    asked = salted_join(marked.where("response is not null").select("unit_key", "response", "doubt", "defect"), canned, ["response"], F.col("unit_key"), how="left")
+    asked = skew_join(marked.where("response is not null").select("unit_key", "response", "doubt", "defect"), canned, ["response"], F.col("unit_key"), how="left")
     settled = asked.where("is_canned").select("unit_key", F.lit("refusal").alias("defect")).unionByName(asked.where("is_canned is null and defect is not null").select("unit_key", "defect"))
     certain = marked.where("response is null and defect is not null").select("unit_key", "defect").unionByName(settled)
     refused = asked.where("is_canned and doubt = 'cut'").select("unit_key")
     # copies of words that others translate
     copies = marked.where("doubt = 'copy'").select("unit_key", "h", "sl")
     known = marked.where("skey is not null").groupBy(F.col("skey").alias("h")).agg(F.avg(F.col("differs").cast("double")).alias("share")).where("share >= 0.5")
-    copied = salted_join(copies, known, ["h"], F.col("unit_key")).select("unit_key", F.lit("copy").alias("defect"))
+    copied = skew_join(copies, known, ["h"], F.col("unit_key")).select("unit_key", F.lit("copy").alias("defect"))
     # shortened responses
     shapes = marked.where("shape is not null").groupBy("tl", "shape").agg(F.count("*").alias("n"), F.max(F.col("doubt") == "cut").alias("doubted"))
     shorts = shapes.where("doubted").join(shortened(shapes.where("tl is not null").select("tl", "shape", "n")), ["tl", "shape"], "left")
     rare = shorts.where(f"inside or n <= {CUT_SHARE} * longer").select("tl", "shape")
-    cut = marked.where("doubt = 'cut'").select("unit_key", "tl", "shape", "chars").join(refused, "unit_key", "left_anti")
-    short = salted_join(cut, rare, ["tl", "shape"], F.col("unit_key")).select("unit_key", F.lit("truncated").alias("defect"))
+    cut = marked.where("doubt = 'cut'").select("unit_key", "tl", "shape", "chars", "closed", "habit").join(refused, "unit_key", "left_anti")
+    short = skew_join(cut, rare, ["tl", "shape"], F.col("unit_key")).select("unit_key", F.lit("truncated").alias("defect"))
     # where no longer response is known, one text must not be the pile by itself
     alone = shorts.where("tl is not null and longer is null").select("tl", "shape", "n")
-    limited = salted_join(cut.join(limits(marked), "chars"), alone, ["tl", "shape"], F.col("unit_key")).where(f"n <= {PILE_SHARE} * pile").select("unit_key", F.lit("truncated").alias("defect"))
-    return certain.unionByName(copied).unionByName(short).unionByName(limited).distinct()
+    limited = skew_join(cut.join(limits(marked), "chars"), alone, ["tl", "shape"], F.col("unit_key")).where(f"n <= {PILE_SHARE} * pile").select("unit_key", F.lit("truncated").alias("defect"))
+    # a prompt that ends with a mark, in a language whose responses then do so too
+    bare = cut.where("closed").join(habits(marked), "habit", "left_semi").select("unit_key", F.lit("truncated").alias("defect"))
+    told = [(certain, "1 rule"), (copied, "1 others"), (short, "1 neighbour"), (limited, "2 limit"), (bare, "3 mark")]
+    every = reduce(DataFrame.unionByName, [df.withColumn("evidence", F.lit(name)) for df, name in told])
+    return every.groupBy("unit_key", "defect").agg(F.substring(F.min("evidence"), 3, 20).alias("evidence"))
+
+
+def found(units: DataFrame, files: DataFrame, table: np.ndarray | None = None) -> DataFrame:
+    """``unit_key, defect`` of every defective pair."""
+    return explained(units, files, table).select("unit_key", "defect")
