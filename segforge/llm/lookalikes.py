@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segforge.io import materialise
+
 # Letters of other scripts and the Latin letters that they look like.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝҮүӀ"
 CYRILLIC_AS = "ABESIJKMHOPCTYXaeopcyxsijhdqwYyl"
@@ -117,6 +119,7 @@ def found(df: DataFrame, key: str = "unit_key", fields: tuple[str, ...] = ("sour
     values = every.groupBy("field", "text").agg(F.min("unit_key").alias("first"))
     formed = _values(values.select("field", "first", "text"), "field string, first bigint, text string, form string", look).where("form is not null")
     slim = formed.select("field", "first", *_digests("text"), F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(7919), F.col("form"), F.length("form")).alias("f2"))
+    slim = materialise(slim)
     several = slim.groupBy("field", "f1", "f2").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.min("t2").alias("lo2"), F.max("t2").alias("hi2"))
     several = several.where("lo <> hi or lo2 <> hi2").select("field", "f1", "f2")
     shared = slim.join(several, ["field", "f1", "f2"], "left_semi")
