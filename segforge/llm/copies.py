@@ -1,6 +1,6 @@
 """Records that are copies but for white space, letter case, punctuation, field order and notation.
 
-Columns are dictionary-encoded batch by batch: every distinct value is canonicalised once and gets a 64-bit integer
+Columns are dictionary-encoded batch by batch: every distinct value is canonicalised once and gets a 128-bit integer
 made from its words, a record becomes its sorted (field, value) integers, and the compact tuples are grouped. Each task
 needs only its own dictionary because the integer follows from the words alone. The tuple is kept as two independent
 64-bit digests of the sorted integers, each value integer being 128 bits before that, so records can be grouped across billions.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segforge.io import salted_join
+from segforge.io import materialise, skew_join
 
 #: Blocks of scripts written without spaces (Thai to Khmer, kana, ideographs, half-width kana).
 UNSPACED = "\u0e00-\u0effက-႟ក-\u17ff⺀-\u2fdf々-〇\u3040-ヿㇰ-ㇿ㐀-鿿豈-\ufaffｦ-ﾟ\U00020000-\U0003ffff"
@@ -117,13 +117,13 @@ def keyed(df: DataFrame, key: str = "record_id", record: str = "record") -> Data
 def collapse(df: DataFrame, key: str = "record_id", record: str = "record") -> DataFrame:
     """One row for each set of copies: smallest id and number of copies. Counted before the shuffle, so a set that
     holds a third of all rows costs one partial row a task."""
-    k = keyed(df, key, record)
+    k = materialise(keyed(df, key, record))
     sets = k.where("k1 is not null").groupBy("k1", "k2").agg(F.min("record_id").alias("keep_id"), F.count("*").alias("n_copies")).select("keep_id", "n_copies")
     return sets.unionByName(k.where("k1 is null").select(F.col("record_id").alias("keep_id"), F.lit(1).cast("bigint").alias("n_copies")))
 
 
 def found(df: DataFrame, key: str = "record_id", record: str = "record") -> DataFrame:
     """``keep_id, dup_id``: each set's smallest id with every other. Linear in the rows, whatever the sets' sizes."""
-    k = keyed(df, key, record).where("k1 is not null")
+    k = materialise(keyed(df, key, record).where("k1 is not null"))
     firsts = k.groupBy("k1", "k2").agg(F.min("record_id").alias("keep_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return salted_join(k, firsts, ["k1", "k2"], F.col("record_id")).where("record_id <> keep_id").select("keep_id", F.col("record_id").alias("dup_id"))
+    return skew_join(k, firsts, ["k1", "k2"], F.col("record_id")).where("record_id <> keep_id").select("keep_id", F.col("record_id").alias("dup_id"))
