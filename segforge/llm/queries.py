@@ -19,7 +19,7 @@ def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
     """The sentences of the documents, as units of their own."""
     docs = table(spark, d, "documents").where("text is not null and trim(text) <> ''")
     lang = F.lower(F.regexp_extract("lang", "^[A-Za-z]+", 0)).alias("lang")
-    texts = docs.select(F.col("doc_id").alias("id"), lang, F.xxhash64(F.coalesce("original", F.lit(""))).alias("doc"), "text")
+    texts = docs.select(F.col("doc_id").alias("id"), lang, F.coalesce(F.when(F.col("original").isNotNull(), F.xxhash64("original")), F.xxhash64("doc_id")).alias("doc"), "text")
     cut = sentences.sentences(texts, texts)
     return cut.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n_sentences"), F.sum(F.col("end_char") - F.col("start_char")).alias("n_chars_in_sentences"))
 

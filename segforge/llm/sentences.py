@@ -18,17 +18,20 @@ share. Texts of any length are cut whole. Re-sent units count once. Extra column
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segforge.io import materialise, salted_join
+from segforge.io import materialise, skew_join
 from segforge.llm import ngrams
 
 # Terminators by kind.
@@ -42,7 +45,7 @@ ROUND = set("(（[【")
 NEVER_BEFORE = set(",;:，；：、،؛)]）】」』”»–—-/&+%")
 _TERMINAL = re.compile("[.．。｡।॥۔!?！？؟‽…]+|\n[^\\S\n]*(?:\n[^\\S\n]*)+")
 _TOKEN = regex.compile(r"[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}._\-/]*[\p{L}\p{M}\p{N}])?\p{M}*")
-_BEFORE = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._\-/]*$")
+_RUN = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._\-/]*")
 _FILE = re.compile(r".*(?:[\d_/\-]|\w{3,})[^.]*\.[A-Za-z]\w{1,9}$")
 _LISTED = re.compile(r"\s*\d{1,2}[.)]\s")
 _THAI_GAP = re.compile("(?<=[\u0e00-\u0e7f])[^\\S\n]*(?:\n[^\\S\n]*)?(?<=\\s)(?=[\u0e00-\u0e7f])")
@@ -51,6 +54,8 @@ _UNSPACED = re.compile("[\u0e00-\u0effက-႟ក-\u17ff\u3040-ヿ㐀-鿿々]")
 #: Languages that write ordinals with a period.
 ORDINALS = {"de", "pl"}
 NUMBER, FILE = "\x01n", "\x01f"
+#: Characters of a token from which its digest stands for it; memory only.
+LONG = 40
 #: Distinct words a task counts before it passes on its sums; memory only.
 FLUSH = 300_000
 #: Unambiguous occurrences in the document from which its evidence stands alone.
@@ -58,12 +63,12 @@ ENOUGH = 3
 
 
 def shape_of(token: str) -> str:
-    """The token that evidence is kept about; numbers and file names are one each."""
+    """The token that evidence is kept about; numbers and file names are one each, long tokens stand by 128 bits of theirs."""
     if token[0].isdigit() and not any(c.isalpha() for c in token):
         return NUMBER
     if _FILE.match(token):
         return FILE
-    return token if len(token) <= 40 else FILE
+    return token if len(token) <= LONG else "\x01h" + hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=16).hexdigest()
 
 
 def pairs_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -121,6 +126,9 @@ def places(text: str, lang: str | None) -> list[Place]:
             for o, c in pairs_of(text, a, b):
                 opener[c] = o
     spans = sorted((o, c) for c, o in opener.items())
+    opens, reach = [o for o, _ in spans], list(accumulate((c for _, c in spans), max))  # farthest end of those that open so far
+    runs = [m.span() for m in _RUN.finditer(text)]
+    run_starts = [a for a, _ in runs]
     for m in marks:
         i, k = m.start(), m.end()
         if m.group()[0] == "\n":
@@ -131,7 +139,8 @@ def places(text: str, lang: str | None) -> list[Place]:
             if k in opener and opener[k] < i:
                 closed = opener[k]
             k += 1
-        if any(o < i and c >= k for o, c in spans):
+        held = bisect_left(opens, i)
+        if held and reach[held - 1] >= k:
             continue
         after = k
         while after < n and text[after].isspace():
@@ -144,19 +153,19 @@ def places(text: str, lang: str | None) -> list[Place]:
             continue
         if nxt in NEVER_BEFORE and not (nxt in "–—-" and gap and after + 1 < n and text[after + 1].isspace() and text[k:after].count("\n") == 1):
             continue
-        out += _judge(text, lang, m.group(), i, k, after, gap, nxt, closed)
+        run = bisect_right(run_starts, i - 1) - 1
+        word_at = run_starts[run] if run >= 0 and runs[run][1] >= i else i
+        out += _judge(text, lang, m.group(), i, k, after, gap, nxt, closed, word_at)
     out.sort(key=lambda p: p.cut)
     return out
 
 
-def _judge(text: str, lang: str | None, mark: str, i: int, k: int, after: int, gap: bool, nxt: str, closed: int) -> Iterator[Place]:
+def _judge(text: str, lang: str | None, mark: str, i: int, k: int, after: int, gap: bool, nxt: str, closed: int, at: int) -> Iterator[Place]:
     following = first_token(text, after)
     lead = following[:1] or nxt
     upper, lower, digit = lead.isupper() or unicodedata.category(lead) == "Lt", lead.islower(), lead.isdigit()
     caseless = bool(_CASELESS.match(lead))
-    before = _BEFORE.search(text, max(0, i - 64), i)
-    word = before.group() if before else ""
-    at = before.start() if before else i
+    word = text[at:i]
     if closed >= 0 and text[closed] not in ROUND:
         # a quotation ends here: it may be the end of its sentence or a part of it
         if (lower and not gap) or (caseless and _UNSPACED.match(lead) and not gap and not (lang == "zh" and closed and text[closed - 1] in ":：")):
@@ -315,7 +324,7 @@ def observe(text: str, counts: Counter, key: tuple) -> None:
 
 def evidence_of(texts: DataFrame) -> DataFrame:
     """``lang, doc, word`` and counts; doc is null for the corpus' sums. ``texts``: lang, doc, text; documents are
-    counted for themselves where doc isn't null."""
+    counted for themselves where doc isn't null. Each text is looked at once."""
 
     def run(batches):
         counts: Counter = Counter()
@@ -334,16 +343,17 @@ def evidence_of(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if text:
-                    observe(text, counts, (lang, None))
-                    if doc is not None:
-                        observe(text, counts, (lang, doc))
+                    observe(text, counts, (lang, doc))
             if len(counts) > FLUSH:
                 yield flush()
         if counts:
             yield flush()
 
     raw = texts.select("lang", "doc", "text").mapInArrow(run, "lang string, doc bigint, word string, " + ", ".join(f"{c} bigint" for c in COUNTS))
-    return raw.groupBy("lang", "doc", "word").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    sums = [F.sum(c).alias(c) for c in COUNTS]
+    each = materialise(raw.groupBy("lang", "doc", "word").agg(*sums))
+    corpus = each.groupBy("lang", "word").agg(*sums).select("lang", F.lit(None).cast("bigint").alias("doc"), "word", *COUNTS)
+    return corpus.unionByName(each.where("doc is not null"))
 
 
 def doubts(texts: DataFrame) -> DataFrame:
@@ -364,15 +374,15 @@ def doubts(texts: DataFrame) -> DataFrame:
 def sentences(texts: DataFrame, everything: DataFrame) -> DataFrame:
     """``id, start_char, end_char`` of all sentences. ``texts``: id (unique), lang, doc, text. ``everything``: lang, doc,
     text of the whole corpus that gives evidence."""
-    known = materialise(evidence_of(everything))
+    known = evidence_of(everything)
     places_ = materialise(doubts(texts))
     wanted = places_.select("lang", "word").distinct()
     known = known.join(wanted, (known.lang.eqNullSafe(wanted.lang)) & (known.word == wanted.word), "left_semi")
     key = F.coalesce("lang", F.lit("")).alias("lang")
     corpus = known.where("doc is null").select(key, "word", *[F.col(c).alias(f"c_{c}") for c in COUNTS])
     own = known.where("doc is not null").select(key, "doc", "word", *[F.col(c).alias(f"d_{c}") for c in COUNTS])
-    joined = salted_join(places_.withColumn("lang", key), corpus, ["lang", "word"], F.col("id"), how="left")
-    joined = salted_join(joined, own, ["lang", "doc", "word"], F.col("id"), how="left")
+    joined = skew_join(places_.withColumn("lang", key), corpus, ["lang", "word"], F.col("id"), how="left")
+    joined = skew_join(joined, own, ["lang", "doc", "word"], F.col("id"), how="left")
     # a period before a capital is no evidence by itself: a document decides by what its unambiguous occurrences tell
     as_before = F.coalesce(F.expr(f"d_ends + d_goes_on >= {ENOUGH} or d_starts + d_mid >= greatest({ENOUGH}, 2 * d_dots)"), F.lit(False))
     as_after = F.coalesce(F.expr(f"d_starts + d_mid >= {ENOUGH}"), F.lit(False))
@@ -398,9 +408,9 @@ def sentences(texts: DataFrame, everything: DataFrame) -> DataFrame:
 def found(units: DataFrame, files: DataFrame, params: DataFrame) -> DataFrame:
     """``unit_key, start_char, end_char`` of the units of files that were converted without cutting paragraphs."""
     whole = params.where("paragraph = 'yes'").select(F.col("file_id").cast("bigint")).distinct().withColumn("whole", F.lit(True))
-    langs = files.select(F.col("file_id").cast("bigint"), ngrams.primary(F.col("source_language")).alias("lang")).groupBy("file_id").agg(F.first("lang").alias("lang"))
+    langs = files.select(F.col("file_id").cast("bigint"), ngrams.primary(F.col("source_language")).alias("lang")).groupBy("file_id").agg(F.min("lang").alias("lang"))
     marked = langs.join(whole, "file_id", "full")
-    slim = units.select(F.col("unit_key").cast("bigint").alias("id"), F.col("file_id").cast("bigint"), F.xxhash64(F.coalesce("original", F.lit(""))).alias("document"), F.col("source").alias("text")).where("text is not null and trim(text) <> ''")
-    every = salted_join(slim, marked, ["file_id"], F.col("id"), how="left").withColumn("doc", F.when(F.col("whole"), F.col("document")))
-    texts = every.where("whole").groupBy("id").agg(F.first("lang").alias("lang"), F.first("doc").alias("doc"), F.first("text").alias("text"))
+    slim = units.select(F.col("unit_key").cast("bigint").alias("id"), F.col("file_id").cast("bigint"), F.coalesce(F.when(F.col("original").isNotNull(), F.xxhash64("original")), F.xxhash64("file_id")).alias("document"), F.col("source").alias("text")).where("text is not null and trim(text) <> ''")
+    every = skew_join(slim, marked, ["file_id"], F.col("id"), how="left").withColumn("doc", F.when(F.col("whole"), F.col("document")))
+    texts = every.where("whole").groupBy("id").agg(F.min(F.struct("text", "lang", "doc")).alias("t")).select("id", "t.lang", "t.doc", "t.text")
     return sentences(materialise(texts), every).select(F.col("id").alias("unit_key"), "start_char", "end_char")
