@@ -71,6 +71,3 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("segforge", os.path.relpath(full, root)))
     sc.addPyFile(archive)
     sc._segforge_shipped = True
-
-
-salted_join = skew_join
