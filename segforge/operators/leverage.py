@@ -1,6 +1,6 @@
 """In-context exact matches between deliveries of one original.
 
-Neighbours come by equi-join on the place in the file instead of a window, so a file of any size stays distributed.
+Neighbours come from one window over each file. Equal texts and contexts are reduced before they are joined.
 """
 
 from __future__ import annotations
@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 
 def in_context(units: DataFrame) -> DataFrame:
-    """Units with the sources before and after; null at the ends of the file."""
-    n = units.select("file_id", F.col("seg_ord").alias("o"), F.coalesce("source", F.lit("")).alias("text"))
-    before = n.select("file_id", (F.col("o") + 1).alias("seg_ord"), F.col("text").alias("before"))
-    after = n.select("file_id", (F.col("o") - 1).alias("seg_ord"), F.col("text").alias("after"))
-    return units.join(before, ["file_id", "seg_ord"], "left").join(after, ["file_id", "seg_ord"], "left")
+    """Units with the sources before and after; null at the ends of the file. One shuffle by file; a file is one document."""
+    place = Window.partitionBy("file_id").orderBy("seg_ord")
+    text = F.coalesce("source", F.lit(""))
+    return units.withColumn("before", F.lag(text).over(place)).withColumn("after", F.lead(text).over(place))
 
 
 def leverage(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -25,10 +24,11 @@ def leverage(new: DataFrame, old: DataFrame) -> DataFrame:
     return _best(_wanted(new), last, "true")
 
 
-def from_earlier(units: DataFrame) -> DataFrame:
-    """As ``leverage`` of every delivery from all earlier ones of its original. ``delivery``: number in order of arrival."""
+def from_earlier(units: DataFrame, approved_too: bool = False) -> DataFrame:
+    """As ``leverage`` of every delivery from all earlier ones of its original. ``delivery``: number in order of arrival.
+    ``approved_too``: units that are approved already are leveraged as well."""
     old = _offered(units).groupBy("original", "source", "before", "after", "delivery").agg(F.max(F.struct("delivery", "seg_ord", "target")).alias("last"))
-    return _best(_wanted(units), old, "o.delivery < n.delivery")
+    return _best(_wanted(units.withColumn("approved", F.lit(None).cast("string")) if approved_too else units), old, "o.delivery < n.delivery")
 
 
 def _wanted(units: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from segforge.plans import formats, inline, oracle_nested
+from segforge.plans import checks, formats, inline, oracle_nested
 
 # The same character classes as in the text functions, spelt for this dialect.
 _BREAKS = r"[ \t\r\n()?\x{00A0}\x{3001}\x{3002}\x{FF1A}\x{FF01}\x{FF1F}\x{4ECB}]+"
@@ -56,12 +56,16 @@ _LOCKED = "(coalesce(lower(approved), 'no') = 'yes' or coalesce(state, '') = 'fi
 _LINES = r"l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents where text is not null)"
 _BLOCK = r"regexp_split_to_array(text, '\n[ \t]*\n')"
 _BLOCKS = f"b as (select doc_id, unnest({_BLOCK}) as block, generate_subscripts({_BLOCK}, 1) - 1 as pos from documents where text is not null)"
-_SHAPE = "regexp_replace(regexp_replace(source, '[A-Z][a-z]+', 'N', 'g'), '[0-9]+', '0', 'g')"
-_ICE = f"""with u0 as (select distinct on (unit_key) * exclude (loaded_at) from trans_units order by unit_key), u as (select * replace ({_SHAPE} as source) from u0), {_CTX}, f as (select file_id, {_primary('source_language')} || '-' || {_primary('target_language')} as pair from files where source_language is not null and target_language is not null),
-x as (select c.* exclude (original), f.pair as original from c join f using (file_id)),
-n as (select * from x where file_id % 2 = 1 and coalesce(lower(approved), 'no') <> 'yes' and coalesce(lower(translate), 'yes') <> 'no' and source is not null and trim(source, ' ') <> ''),
-o as (select * from x where file_id % 2 = 0 and approved = 'yes' and target is not null and trim(target, ' ') <> '' and source is not null),
-i as (select n.unit_key, arg_max(o.target, struct_pack(a := o.file_id, b := o.seg_ord, c := o.target)) as target from n join o on n.original = o.original and n.source = o.source and (n.before is null or n.before = o.before) and (n.after is null or n.after = o.after) group by 1)"""
+_ICE = f"""with {_U}, {_CTX}, f as (select file_id, original, row_number() over (partition by original order by received_at, file_id) as delivery from files),
+x as (select c.* exclude (original), f.original, delivery from c join f using (file_id)),
+n as (select * from x where coalesce(lower(approved), 'no') <> 'yes' and coalesce(lower(translate), 'yes') <> 'no' and source is not null and trim(source, ' ') <> ''),
+o as (select * from x where approved = 'yes' and target is not null and trim(target, ' ') <> '' and source is not null),
+i as (select n.unit_key, arg_max(o.target, struct_pack(a := o.delivery, b := o.seg_ord, c := o.target)) as target from n join o on n.original = o.original and n.source = o.source and (n.before is null or n.before = o.before) and (n.after is null or n.after = o.after) and o.delivery < n.delivery group by 1)"""
+_ICE_LINES = """with f as (select doc_id, coalesce(source, '') || '/' || coalesce(lang, '') as original, row_number() over (partition by coalesce(source, '') || '/' || coalesce(lang, '') order by created_at, doc_id) as delivery, text from documents where text is not null),
+l as (select doc_id, original, delivery, unnest(string_split(text, chr(10))) as source, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from f),
+c as (select *, doc_id || ':' || pos as unit_key, lag(source) over w as before, lead(source) over w as after from l window w as (partition by doc_id order by pos)),
+n as (select * from c where trim(source, ' ') <> '')
+select n.unit_key, arg_max(o.unit_key, struct_pack(a := o.delivery, b := o.pos, c := o.unit_key)) as target from n join c o on n.original = o.original and n.source = o.source and (n.before is null or n.before = o.before) and (n.after is null or n.after = o.after) and o.delivery < n.delivery group by 1"""
 
 
 def _status(value: str) -> str:
@@ -92,6 +96,7 @@ def oracle_sql() -> dict[str, str]:
         "match_bands": f"with {_M} select {_band('coalesce(quality, 0)')} as band, count(*) as n, count(distinct unit_key) as units from m group by 1",
         "best_match": f"with {_M} select unit_key, quality, alt_id, target from m where quality <= 100 and target is not null qualify row_number() over (partition by unit_key order by quality desc, alt_id) = 1",
         "ice_match": f"{_ICE} select * from i",
+        "ice_lines": _ICE_LINES,
         "ice_applied": f"{_ICE} select unit_key, 'yes' as approved, 'signed-off' as state, 'leveraged-inherited' as state_qualifier, target from i",
         "file_match_first": "select original, arg_min(file_id, struct_pack(a := received_at, b := file_id)) as file_id, count(*) as deliveries from files group by 1",
         "skeleton_merge": f"with {_LINES}, {_U}, t as (select source, min(target) as translation from u where approved = 'yes' and target is not null and source is not null group by 1) select doc_id, md5(string_agg(coalesce(translation, line), chr(10) order by line_no)) as digest, count(translation) as n_translated from l left join t on line = source and trim(line, ' ') <> '' group by 1",
@@ -145,7 +150,7 @@ def oracle_sql() -> dict[str, str]:
         "tag_multiset_diff": rf"with {_U}, x as (select unit_key, unnest(regexp_extract_all(source, '<[^>]+>|\{{[^}}]*\}}|%[0-9$]*[sd]')) as tag, 1 as v from u where source is not null and target is not null union all select unit_key, unnest(regexp_extract_all(target, '<[^>]+>|\{{[^}}]*\}}|%[0-9$]*[sd]')), -1 from u where source is not null and target is not null), y as (select unit_key, tag, sum(v) as diff from x group by 1, 2 having sum(v) <> 0) select unit_key, sum(abs(diff))::bigint as errors from y group by 1",
         "inherit_translate": "select c_custkey, coalesce(case when c_custkey % 7 = 0 then 'no' when c_custkey % 7 = 1 then 'yes' end, case when n_nationkey % 5 = 0 then 'no' when n_nationkey % 5 = 1 then 'yes' end, case when r_regionkey % 3 = 0 then 'no' when r_regionkey % 3 = 1 then 'yes' end, 'yes') as translate from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
         "filter_values": "select doc_id, len(list_filter(string_split(source, '_'), lambda x: x not in ('legal', 'notices', 'chat', 'support', 'release'))) = 0 as excluded from documents where source is not null",
-        "key_scope_resolve": "with recursive e as (select 'n' || n_nationkey as k, 'r' || n_regionkey as ref from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer), w as (select k, ref as pos, 1 as steps from e union all select w.k, e.ref, steps + 1 from w join e on w.pos = e.k where steps < 4) select k, arg_max(pos, steps) as ends_at, max(steps) as steps from w group by 1",
+        "key_scope_resolve": "with recursive e as (select 'n' || n_nationkey as k, 'r' || n_regionkey as ref from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'o' || o_orderkey, 'c' || o_custkey from orders union all select 'x' || o_orderkey, 'o' || o_orderkey from orders), w as (select k, ref as pos, 1 as steps from e union all select w.k, e.ref, steps + 1 from w join e on w.pos = e.k) select k, arg_max(pos, steps) as ends_at, max(steps)::bigint as steps from w group by 1",
         "unit_regroup": f"with {_U} select file_id, floor(seg_ord / 3)::bigint as unit_no, md5(string_agg(coalesce(source, ''), '' order by seg_ord)) as source_md5, md5(string_agg(coalesce(target, source, ''), '' order by seg_ord)) as target_md5, coalesce(bool_or(coalesce(state = 'final', false)), false) as approved, count(*) as n_segments from u group by 1, 2",
         "metadata_pivot": "select p_partkey, p_brand as brand, p_type as type, p_size::varchar as size from part",
         "language_directions": f"with x as (select file_id, {_primary('source_language')} as sl, {_primary('target_language')} as tl from files) select sl, tl, count(*) as files, min(file_id) as first_file from x where sl is not null and tl is not null group by 1, 2",
@@ -155,4 +160,4 @@ def oracle_sql() -> dict[str, str]:
         "shared_sources": f"with {_U} select count(*) as n from (select source from u where source is not null intersect select source from alt_trans where source is not null)",
         "revenue_rollup": "select l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem group by rollup(l_returnflag, l_linestatus)",
     }
-    return sql | oracle_nested.oracle_sql() | formats.oracle_sql() | inline.oracle_sql()
+    return sql | oracle_nested.oracle_sql() | formats.oracle_sql() | inline.oracle_sql() | checks.oracle_sql()

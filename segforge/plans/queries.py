@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from segforge.functions import text as T
 from segforge.io import table
-from segforge.operators import assemble, leverage, nested, rewrite, stats, validate
+from segforge.operators import assemble, keys, leverage, nested, rewrite, stats, validate
 from segforge.operators.units import best_quality, matches, typed, units
-from segforge.plans import formats, inline
+from segforge.plans import checks, formats, inline
 from segforge.sources import lines
 
 BOM = 8  # size of the bars of status reports
@@ -81,6 +81,17 @@ def ice_match(s, d):
     return leverage.from_earlier(leverage.in_context(units(s, d)).drop("original").join(f, "file_id"))
 
 
+def ice_lines(s, d):
+    """Lines of documents leveraged from the earlier documents of their kind and language, in order of their dates; the target is the
+    place that a line comes from."""
+    docs = _docs(s, d).where("text is not null").withColumn("original", F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit(""))))
+    docs = docs.select("doc_id", "original", F.row_number().over(Window.partitionBy("original").orderBy("created_at", "doc_id")).alias("delivery"), "text")
+    rows = docs.select("doc_id", "original", "delivery", F.posexplode(F.split("text", "\n")).alias("seg_ord", "source"))
+    u = rows.withColumnRenamed("doc_id", "file_id").withColumn("unit_key", F.concat(F.col("file_id").cast("string"), F.lit(":"), F.col("seg_ord").cast("string")))
+    u = u.withColumn("target", F.col("unit_key")).withColumn("approved", F.lit("yes")).withColumn("translate", F.lit("yes"))
+    return leverage.from_earlier(leverage.in_context(u), approved_too=True)
+
+
 def ice_applied(s, d):
     u = units(s, d)
     return rewrite.apply_leverage(u, ice_match(s, d)).where("state_qualifier is not null").select("unit_key", "approved", "state", "state_qualifier", "target")
@@ -290,15 +301,14 @@ def filter_values(s, d):
     return docs.select("doc_id", (F.size(F.array_except(tokens, excluded)) == 0).alias("excluded"))
 
 
-def key_scope_resolve(s, d, rounds: int = 4):
-    """Chains of references followed for at most four rounds: a customer's region through its nation."""
-    edges = table(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("k"), F.concat(F.lit("r"), "n_regionkey").alias("ref"))
-    edges = edges.unionByName(table(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("k"), F.concat(F.lit("n"), "c_nationkey").alias("ref")))
-    at = edges.select("k", F.col("ref").alias("at"), F.lit(1).alias("steps"))
-    for _ in range(rounds - 1):
-        step = edges.select(F.col("k").alias("at"), F.col("ref").alias("next"))
-        at = at.join(step, "at", "left").select("k", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.col("next").isNotNull().cast("int")).alias("steps"))
-    return at.select("k", F.col("at").alias("ends_at"), "steps")
+def key_scope_resolve(s, d):
+    """Chains of references followed to their ends: a part of an order's line to its customer, nation and region."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = table(s, d, "nation").select(name("n", "n_nationkey").alias("k"), name("r", "n_regionkey").alias("ref"))
+    edges = edges.unionByName(table(s, d, "customer").select(name("c", "c_custkey").alias("k"), name("n", "c_nationkey").alias("ref")))
+    edges = edges.unionByName(table(s, d, "orders").select(name("o", "o_orderkey").alias("k"), name("c", "o_custkey").alias("ref")))
+    edges = edges.unionByName(table(s, d, "orders").select(name("x", "o_orderkey").alias("k"), name("o", "o_orderkey").alias("ref")))
+    return keys.resolve(edges)
 
 
 def unit_regroup(s, d):
@@ -371,9 +381,9 @@ def p3_targets(s, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         repetition_classify, word_bands, word_vector, status_by_segments, status_by_words, status_by_chars, word_count_by_lang, word_count_cjk, char_space_stats, match_bands, best_match,
-        ice_match, ice_applied, file_match_first, skeleton_merge, segment_lite, paragraph_split, normalise_space, format_detect, pseudo_translate, copy_sources, approve_all, remove_targets, convert_state, tmx_export,
+        ice_match, ice_lines, ice_applied, file_match_first, skeleton_merge, segment_lite, paragraph_split, normalise_space, format_detect, pseudo_translate, copy_sources, approve_all, remove_targets, convert_state, tmx_export,
         join_documents, split_by_original, common_path_root, compare_documents, duplicate_ids, dangling_refs, pair_balance, date_check, language_check, attribute_whitelist, violations_report, json_leaves,
         subtitle_parse, po_parse, properties_parse, status_history, status_codec, status_bars, merge_adjacent, renumber_ids, slide_sort, tag_multiset_diff, inherit_translate, filter_values, key_scope_resolve,
         unit_regroup, metadata_pivot, language_directions, encoding_names, target_names, originals_without_params, shared_sources, revenue_rollup, p3_found, p3_files, p3_groups, p3_units, p3_targets,
     ]
-    return {f.__name__: f for f in named} | formats.queries() | inline.queries()
+    return {f.__name__: f for f in named} | formats.queries() | inline.queries() | checks.queries()
