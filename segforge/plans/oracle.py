@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from segforge.functions import codecs
+from segforge.operators import validate
 from segforge.plans import checks, formats, inline, oracle_nested
 
 # The same character classes as in the text functions, spelt for this dialect.
@@ -97,7 +99,7 @@ def oracle_sql() -> dict[str, str]:
         "best_match": f"with {_M} select unit_key, quality, alt_id, target from m where quality <= 100 and target is not null qualify row_number() over (partition by unit_key order by quality desc, alt_id) = 1",
         "ice_match": f"{_ICE} select * from i",
         "ice_lines": _ICE_LINES,
-        "ice_applied": f"{_ICE} select unit_key, 'yes' as approved, 'signed-off' as state, 'leveraged-inherited' as state_qualifier, target from i",
+        "ice_applied": f"select unit_key, 'yes' as approved, 'signed-off' as state, 'leveraged-inherited' as state_qualifier, target from ({_ICE_LINES})",
         "file_match_first": "select original, arg_min(file_id, struct_pack(a := received_at, b := file_id)) as file_id, count(*) as deliveries from files group by 1",
         "skeleton_merge": f"with {_LINES}, {_U}, t as (select source, min(target) as translation from u where approved = 'yes' and target is not null and source is not null group by 1) select doc_id, md5(string_agg(coalesce(translation, line), chr(10) order by line_no)) as digest, count(translation) as n_translated from l left join t on line = source and trim(line, ' ') <> '' group by 1",
         "segment_lite": r"with x as (select doc_id, string_split(regexp_replace(text, '([.?!]+)(\s+)(\S)', '\1' || chr(8233) || '\2\3', 'g'), chr(8233)) as p from documents where text is not null), y as (select doc_id, unnest(p) as segment, (generate_subscripts(p, 1) - 1)::bigint as pos from x) select doc_id, pos, md5(segment) as digest, length(segment)::bigint as chars from y",
@@ -120,11 +122,11 @@ def oracle_sql() -> dict[str, str]:
  a as (select g.original, seg_ord, source, target from g join u on u.file_id = fa), b as (select g.original, seg_ord, source, target from g join u on u.file_id = fb)
  select case when b.original is null then 'removed' when a.original is null then 'added' when a.source is distinct from b.source then 'source' when a.target is distinct from b.target then 'target' else 'same' end as difference, count(*) as n from a full join b on a.original = b.original and a.seg_ord = b.seg_ord group by 1""",
         "duplicate_ids": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1",
-        "dangling_refs": "select 'ref-params' as rule_id, file_id::varchar as key, file_id::varchar as detail from files where file_id not in (select file_id from convert_params) union all select distinct 'ref-unit', alt_id::varchar, unit_key::varchar from alt_trans where unit_key is not null and unit_key not in (select unit_key from trans_units)",
+        "dangling_refs": "select 'ref-params' as rule_id, file_id::varchar as key, file_id::varchar as detail from files where file_id not in (select file_id from convert_params) union all select distinct 'ref-unit', alt_id::varchar, unit_key::varchar from alt_trans where unit_key is not null and unit_key not in (select unit_key from trans_units) union all select 'ref-original', doc_id::varchar, original from documents where original is not null and original not in (select original from files where original is not null)",
         "pair_balance": f"with {_U}, x as (select unit_key, coalesce(source, '') as s, coalesce(target, '') as t from u where source like '%<%' or target like '%<%') select unit_key, (len(regexp_extract_all(s, '<[A-Za-z][^>/]*>')) - len(regexp_extract_all(s, '</[A-Za-z][^>]*>')))::bigint as in_source, (len(regexp_extract_all(t, '<[A-Za-z][^>/]*>')) - len(regexp_extract_all(t, '</[A-Za-z][^>]*>')))::bigint as in_target from x",
         "date_check": r"""with x as (select file_id, strftime(received_at, '%Y-%m-%dT%H:%M:%SZ') as g from files), y as (select file_id, case when file_id % 5 = 0 then g[1:10] when file_id % 7 = 0 then g[1:5] || '13' || g[8:20] else g end as t from x) select file_id, regexp_matches(t, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$') and try_strptime(t, '%Y-%m-%dT%H:%M:%SZ') is not null as valid from y""",
         "language_check": f"with x as (select file_id, 'source' as side, source_language as written from files union all select file_id, 'target', target_language from files), y as (select *, case when written is not null then {_tag('written')} end as tag from x) select file_id, side, written, y.tag, coalesce(written = y.tag, false) as as_should_be, language_name is not null as known, direction from y left join languages l on l.tag = y.tag",
-        "attribute_whitelist": f"with {_U} select coalesce(state, '(none)') as state, count(*) as n from u where state is null or state not in ('final', 'needs-adaptation', 'needs-l10n', 'needs-review-adaptation', 'needs-review-l10n', 'needs-review-translation', 'needs-translation', 'new', 'signed-off', 'translated') group by 1",
+        "attribute_whitelist": f"with {_U}, a as (select 'state' as attribute, state as value from u where state not in ({', '.join(repr(x) for x in validate.STATES)}) union all select 'datatype', datatype from files where datatype not in ({', '.join(repr(x) for x in codecs.FORMAT_NAMES)}) union all select 'source_language', source_language from files where source_language not in (select tag from languages) union all select 'target_language', target_language from files where target_language not in (select tag from languages)) select attribute, value, count(*) as n from a where value is not null group by 1, 2",
         "violations_report": f"""with {_U}, v as (
  select 'dup-unit' as rule_id, file_id || ':' || unit_id as key from u group by file_id, unit_id having count(*) > 1
  union all select 'dup-alt', alt_id::varchar from alt_trans group by alt_id having count(*) > 1
@@ -147,7 +149,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_adjacent": "with x as (select *, coalesce((lag(event_type) over w <> event_type)::int, 1) as b from events window w as (partition by user_id order by ts, event_id)), y as (select *, (sum(b) over (partition by user_id order by ts, event_id))::bigint as run from x) select user_id, run, min(event_type) as event_type, count(*) as n, min(event_id) as first_event from y group by 1, 2",
         "renumber_ids": f"with {_U} select unit_key, row_number() over (partition by file_id order by seg_ord) - 1 as new_id from u where coalesce(lower(translate), 'yes') <> 'no'",
         "slide_sort": "with x as (select distinct original, regexp_extract(original, '([0-9]+)[^0-9]*$', 1) as n from files) select original, case when n = '' then original else regexp_replace(original, '[0-9]+[^0-9]*$', '') || lpad(n, 8, '0') end as sort_key from x",
-        "tag_multiset_diff": rf"with {_U}, x as (select unit_key, unnest(regexp_extract_all(source, '<[^>]+>|\{{[^}}]*\}}|%[0-9$]*[sd]')) as tag, 1 as v from u where source is not null and target is not null union all select unit_key, unnest(regexp_extract_all(target, '<[^>]+>|\{{[^}}]*\}}|%[0-9$]*[sd]')), -1 from u where source is not null and target is not null), y as (select unit_key, tag, sum(v) as diff from x group by 1, 2 having sum(v) <> 0) select unit_key, sum(abs(diff))::bigint as errors from y group by 1",
+        "tag_multiset_diff": f"with {inline._M}, x as (select unit_key, unnest(regexp_extract_all(s, '<[^>]+>')) as tag, 1 as v from m where t is not null union all select unit_key, unnest(regexp_extract_all(t, '<[^>]+>')), -1 from m where t is not null), y as (select unit_key, tag, sum(v) as diff from x group by 1, 2) select unit_key, sum(abs(diff))::bigint as errors from y where diff <> 0 group by 1",
         "inherit_translate": "select c_custkey, coalesce(case when c_custkey % 7 = 0 then 'no' when c_custkey % 7 = 1 then 'yes' end, case when n_nationkey % 5 = 0 then 'no' when n_nationkey % 5 = 1 then 'yes' end, case when r_regionkey % 3 = 0 then 'no' when r_regionkey % 3 = 1 then 'yes' end, 'yes') as translate from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
         "filter_values": "select doc_id, len(list_filter(string_split(source, '_'), lambda x: x not in ('legal', 'notices', 'chat', 'support', 'release'))) = 0 as excluded from documents where source is not null",
         "key_scope_resolve": "with recursive e as (select 'n' || n_nationkey as k, 'r' || n_regionkey as ref from nation union all select 'c' || c_custkey, 'n' || c_nationkey from customer union all select 'o' || o_orderkey, 'c' || o_custkey from orders union all select 'x' || o_orderkey, 'o' || o_orderkey from orders), w as (select k, ref as pos, 1 as steps from e union all select w.k, e.ref, steps + 1 from w join e on w.pos = e.k) select k, arg_max(pos, steps) as ends_at, max(steps)::bigint as steps from w group by 1",
@@ -156,8 +158,8 @@ def oracle_sql() -> dict[str, str]:
         "language_directions": f"with x as (select file_id, {_primary('source_language')} as sl, {_primary('target_language')} as tl from files) select sl, tl, count(*) as files, min(file_id) as first_file from x where sl is not null and tl is not null group by 1, 2",
         "encoding_names": "with x as (select file_id, any_value(src_encoding) as e from convert_params group by 1), y as (select e, regexp_replace(upper(e), '[^A-Z0-9]', '', 'g') as b from x) select case when b = 'UTF8' then 'UTF-8' when b in ('CP1252', 'WINDOWS1252') then 'windows-1252' when b in ('LATIN1', 'ISO88591') then 'ISO-8859-1' when e is null then '(none)' else upper(e) end as encoding, count(*) as files from y group by 1",
         "target_names": rf"with x as (select file_id, original, {_tag('target_language')} as l from files where target_language is not null) select file_id, case when regexp_matches(original, '\.[^./]+$') then regexp_replace(original, '\.[^./]+$', '') || '_' || l || regexp_extract(original, '(\.[^./]+)$', 1) else original || '_' || l end as target_file from x",
-        "originals_without_params": "select distinct original from files except select original from files where file_id in (select file_id from convert_params)",
-        "shared_sources": f"with {_U} select count(*) as n from (select source from u where source is not null intersect select source from alt_trans where source is not null)",
+        "originals_without_params": "select distinct original from documents where original is not null except select original from files where file_id in (select file_id from convert_params)",
+        "shared_sources": f"with {_U} select source, count(*) as n from u where source in (select source from alt_trans where source is not null) group by 1",
         "revenue_rollup": "select l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem group by rollup(l_returnflag, l_linestatus)",
     }
     return sql | oracle_nested.oracle_sql() | formats.oracle_sql() | inline.oracle_sql() | checks.oracle_sql()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from segforge.functions import codecs
 from segforge.functions import text as T
 from segforge.io import table
 from segforge.operators import assemble, keys, leverage, nested, rewrite, stats, validate
@@ -93,8 +94,10 @@ def ice_lines(s, d):
 
 
 def ice_applied(s, d):
-    u = units(s, d)
-    return rewrite.apply_leverage(u, ice_match(s, d)).where("state_qualifier is not null").select("unit_key", "approved", "state", "state_qualifier", "target")
+    """Lines of documents as units, approved where an earlier document gives their target."""
+    rows = assemble.lines(_docs(s, d)).select(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string")).alias("unit_key"), "line")
+    u = rows.select("unit_key", F.lit("new").alias("state"), F.lit(None).cast("string").alias("approved"), F.lit(None).cast("string").alias("target"))
+    return rewrite.apply_leverage(u, ice_lines(s, d)).where("state_qualifier is not null").select("unit_key", "approved", "state", "state_qualifier", "target")
 
 
 def file_match_first(s, d):
@@ -185,10 +188,11 @@ def duplicate_ids(s, d):
 
 
 def dangling_refs(s, d):
-    """Files without parameters, and matches without unit."""
+    """Files without parameters, matches without unit, documents of originals that were never delivered."""
     a = validate.dangling("ref-params", table(s, d, "files").select("file_id"), "file_id", "file_id", table(s, d, "convert_params"), "file_id")
-    b = validate.dangling("ref-unit", table(s, d, "alt_trans").dropDuplicates(["alt_id"]), "alt_id", "unit_key", units(s, d), "unit_key")
-    return a.unionByName(b)
+    b = validate.dangling("ref-unit", matches(s, d), "alt_id", "unit_key", units(s, d, "file_id"), "unit_key")
+    c = validate.dangling("ref-original", _docs(s, d), "doc_id", "original", table(s, d, "files"), "original")
+    return a.unionByName(b).unionByName(c)
 
 
 def pair_balance(s, d):
@@ -213,8 +217,12 @@ def language_check(s, d):
 
 
 def attribute_whitelist(s, d):
-    allowed = s.createDataFrame([(x,) for x in validate.STATES], "state string")
-    return units(s, d).where("state is not null").join(allowed, "state", "left_anti").groupBy("state").agg(F.count("*").alias("n")).unionByName(units(s, d).where("state is null").groupBy().agg(F.lit("(none)").alias("state"), F.count("*").alias("n")))
+    """Values of attributes that aren't among the allowed ones: states of units, data types and language tags of files."""
+    f, tags = table(s, d, "files"), table(s, d, "languages").select(F.col("tag").alias("value"))
+    fixed = lambda values: s.createDataFrame([(x,) for x in values], "value string")
+    part = lambda df, c, allowed: df.select(F.lit(c).alias("attribute"), F.col(c).alias("value")).where("value is not null").join(allowed, "value", "left_anti")
+    every = part(units(s, d, "state"), "state", fixed(validate.STATES)).unionByName(part(f, "datatype", fixed(codecs.FORMAT_NAMES))).unionByName(part(f, "source_language", tags)).unionByName(part(f, "target_language", tags))
+    return every.groupBy("attribute", "value").agg(F.count("*").alias("n"))
 
 
 def violations_report(s, d):
@@ -278,10 +286,9 @@ def slide_sort(s, d):
 
 
 def tag_multiset_diff(s, d):
-    """Placeholders and tags that source and target don't share, as multisets."""
-    u = units(s, d).where("source is not null and target is not null")
-    pattern = F.lit("(<[^>]+>|\\{[^}]*\\}|%[0-9$]*[sd])")
-    tags = lambda c, v: u.select("unit_key", F.explode(F.regexp_extract_all(c, pattern, 1)).alias("tag"), F.lit(v).alias("v"))
+    """Tags that the marked-up source and target don't share, as multisets."""
+    u = units(s, d, "source", "target").where("source is not null and target is not null").select("unit_key", inline.markup("source").alias("source"), inline.markup("target").alias("target"))
+    tags = lambda c, v: u.select("unit_key", F.explode(F.regexp_extract_all(c, F.lit("(<[^>]+>)"), 1)).alias("tag"), F.lit(v).alias("v"))
     diff = tags("source", 1).unionByName(tags("target", -1)).groupBy("unit_key", "tag").agg(F.sum("v").alias("diff")).where("diff <> 0")
     return diff.groupBy("unit_key").agg(F.sum(F.abs("diff")).cast("bigint").alias("errors"))
 
@@ -343,13 +350,15 @@ def target_names(s, d):
 
 
 def originals_without_params(s, d):
+    """Originals of documents that no file with parameters has."""
     f, p = table(s, d, "files"), table(s, d, "convert_params")
-    return f.select("original").distinct().exceptAll(f.join(p.select("file_id").distinct(), "file_id", "left_semi").select("original").distinct())
+    return _docs(s, d).select("original").where("original is not null").distinct().exceptAll(f.join(p.select("file_id").distinct(), "file_id", "left_semi").select("original").distinct())
 
 
 def shared_sources(s, d):
-    """Sources of units that are also offered as matches."""
-    return units(s, d).select("source").where("source is not null").intersect(table(s, d, "alt_trans").select("source").where("source is not null")).agg(F.count("*").alias("n"))
+    """Sources of units that are also offered as matches, with the number of units."""
+    offered = table(s, d, "alt_trans").select("source").where("source is not null").distinct()
+    return units(s, d, "source").join(offered, "source", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
 
 
 def revenue_rollup(s, d):
