@@ -81,8 +81,8 @@ class Nodes:
         pairs = self.valid[owner]
         starts, stops = quote[pairs & (nth % 2 == 0)], quote[pairs & (nth % 2 == 1)]
         depth = np.zeros(len(b) + 1, np.int8)
-        depth[starts], depth[stops + 1] = 1, -1
-        # the end of one string may be the start of another only in broken texts
+        depth[starts] += 1
+        depth[stops + 1] -= 1  # where the next text begins with a string, both meet
         inside = np.cumsum(depth[:-1], dtype=np.int8) > 0
         control = np.flatnonzero(inside & (b < 32))
         self.valid[np.searchsorted(bounds, control, side="right") - 1] = False

@@ -23,6 +23,6 @@ def resolve(edges: DataFrame) -> DataFrame:
         rounds += 1
         if not at.where("moved").head(1):
             return at.select("k", "ends_at", "steps")
-        if 1 << rounds > total:  # longer than any chain without a ring
+        if 1 << (rounds - 1) > total:  # what still moves has gone farther than any chain without a ring
             return at.select("k", F.when(~F.col("moved"), F.col("ends_at")).alias("ends_at"), F.when(~F.col("moved"), F.col("steps")).alias("steps"))
         at = at.select("k", "ends_at", "steps")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from segforge.functions import codecs
 from segforge.operators import validate
-from segforge.plans import checks, formats, inline, oracle_nested
+from segforge.plans import checks, formats, inline, oracle_nested, packages, segmentation
 
 # The same character classes as in the text functions, spelt for this dialect.
 _BREAKS = r"[ \t\r\n()?\x{00A0}\x{3001}\x{3002}\x{FF1A}\x{FF01}\x{FF1F}\x{4ECB}]+"
@@ -99,7 +99,8 @@ def oracle_sql() -> dict[str, str]:
         "best_match": f"with {_M} select unit_key, quality, alt_id, target from m where quality <= 100 and target is not null qualify row_number() over (partition by unit_key order by quality desc, alt_id) = 1",
         "ice_match": f"{_ICE} select * from i",
         "ice_lines": _ICE_LINES,
-        "ice_applied": f"select unit_key, 'yes' as approved, 'signed-off' as state, 'leveraged-inherited' as state_qualifier, target from ({_ICE_LINES})",
+        "ice_applied": f"{_ICE} select unit_key, 'yes' as approved, 'signed-off' as state, 'leveraged-inherited' as state_qualifier, target from i",
+        "ice_lines_applied": f"select unit_key, 'yes' as approved, 'signed-off' as state, 'leveraged-inherited' as state_qualifier, target from ({_ICE_LINES})",
         "file_match_first": "select original, arg_min(file_id, struct_pack(a := received_at, b := file_id)) as file_id, count(*) as deliveries from files group by 1",
         "skeleton_merge": f"with {_LINES}, {_U}, t as (select source, min(target) as translation from u where approved = 'yes' and target is not null and source is not null group by 1) select doc_id, md5(string_agg(coalesce(translation, line), chr(10) order by line_no)) as digest, count(translation) as n_translated from l left join t on line = source and trim(line, ' ') <> '' group by 1",
         "segment_lite": r"with x as (select doc_id, string_split(regexp_replace(text, '([.?!]+)(\s+)(\S)', '\1' || chr(8233) || '\2\3', 'g'), chr(8233)) as p from documents where text is not null), y as (select doc_id, unnest(p) as segment, (generate_subscripts(p, 1) - 1)::bigint as pos from x) select doc_id, pos, md5(segment) as digest, length(segment)::bigint as chars from y",
@@ -162,4 +163,4 @@ def oracle_sql() -> dict[str, str]:
         "shared_sources": f"with {_U} select source, count(*) as n from u where source in (select source from alt_trans where source is not null) group by 1",
         "revenue_rollup": "select l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem group by rollup(l_returnflag, l_linestatus)",
     }
-    return sql | oracle_nested.oracle_sql() | formats.oracle_sql() | inline.oracle_sql() | checks.oracle_sql()
+    return sql | oracle_nested.oracle_sql() | formats.oracle_sql() | inline.oracle_sql() | checks.oracle_sql() | segmentation.oracle_sql() | packages.oracle_sql()

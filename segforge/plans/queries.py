@@ -12,7 +12,7 @@ from segforge.functions import text as T
 from segforge.io import table
 from segforge.operators import assemble, keys, leverage, nested, rewrite, stats, validate
 from segforge.operators.units import best_quality, matches, typed, units
-from segforge.plans import checks, formats, inline
+from segforge.plans import checks, formats, inline, packages, segmentation
 from segforge.sources import lines
 
 BOM = 8  # size of the bars of status reports
@@ -94,6 +94,11 @@ def ice_lines(s, d):
 
 
 def ice_applied(s, d):
+    u = units(s, d)
+    return rewrite.apply_leverage(u, ice_match(s, d)).where("state_qualifier is not null").select("unit_key", "approved", "state", "state_qualifier", "target")
+
+
+def ice_lines_applied(s, d):
     """Lines of documents as units, approved where an earlier document gives their target."""
     rows = assemble.lines(_docs(s, d)).select(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line_no").cast("string")).alias("unit_key"), "line")
     u = rows.select("unit_key", F.lit("new").alias("state"), F.lit(None).cast("string").alias("approved"), F.lit(None).cast("string").alias("target"))
@@ -390,9 +395,9 @@ def p3_targets(s, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         repetition_classify, word_bands, word_vector, status_by_segments, status_by_words, status_by_chars, word_count_by_lang, word_count_cjk, char_space_stats, match_bands, best_match,
-        ice_match, ice_lines, ice_applied, file_match_first, skeleton_merge, segment_lite, paragraph_split, normalise_space, format_detect, pseudo_translate, copy_sources, approve_all, remove_targets, convert_state, tmx_export,
+        ice_match, ice_lines, ice_applied, ice_lines_applied, file_match_first, skeleton_merge, segment_lite, paragraph_split, normalise_space, format_detect, pseudo_translate, copy_sources, approve_all, remove_targets, convert_state, tmx_export,
         join_documents, split_by_original, common_path_root, compare_documents, duplicate_ids, dangling_refs, pair_balance, date_check, language_check, attribute_whitelist, violations_report, json_leaves,
         subtitle_parse, po_parse, properties_parse, status_history, status_codec, status_bars, merge_adjacent, renumber_ids, slide_sort, tag_multiset_diff, inherit_translate, filter_values, key_scope_resolve,
         unit_regroup, metadata_pivot, language_directions, encoding_names, target_names, originals_without_params, shared_sources, revenue_rollup, p3_found, p3_files, p3_groups, p3_units, p3_targets,
     ]
-    return {f.__name__: f for f in named} | formats.queries() | inline.queries() | checks.queries()
+    return {f.__name__: f for f in named} | formats.queries() | inline.queries() | checks.queries() | segmentation.queries() | packages.queries()

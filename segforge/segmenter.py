@@ -15,7 +15,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -58,27 +60,36 @@ def read_rules(xml: str) -> tuple[Rule, ...]:
 
 
 @lru_cache(maxsize=64)
-def compiled(rules: tuple[Rule, ...], lang: str):
-    chosen = [r for r in rules if re.fullmatch(r.language, lang or "")]
-    return [(r.breaks, re.compile(f"(?:{r.before})\\Z") if r.before else None, re.compile(r.after) if r.after else None, re.compile(r.before) if r.before else None) for r in chosen]
+def compiled(rules: tuple[Rule, ...], lang: str) -> list[tuple]:
+    """(breaks, before, after) of the rules of a language. Patterns before a place run backwards from it, so they look at no more
+    text than they match; rules in a row with one pattern after the place are tried together."""
+    chosen: list[list] = []
+    for r in rules:
+        if not re.fullmatch(r.language, lang):
+            continue
+        if chosen and chosen[-1][0] == r.breaks and chosen[-1][2] == r.after and r.before and chosen[-1][1]:
+            chosen[-1][1].append(r.before)
+        else:
+            chosen.append([r.breaks, [r.before] if r.before else [], r.after])
+    pattern = lambda parts: regex.compile("(?r)" + "|".join(f"(?:{p})" for p in parts)) if parts else None
+    return [(breaks, pattern(before), regex.compile(after) if after else None) for breaks, before, after in chosen]
 
 
-def segment(text: str | None, lang: str | None, rules: tuple[Rule, ...] = DEFAULT, window: int = 200) -> list[str]:
-    """Segments of a text. A rule's pattern before a position may look back ``window`` characters."""
+def segment(text: str | None, lang: str | None, rules: tuple[Rule, ...] = DEFAULT) -> list[str]:
+    """Segments of a text of any length. What precedes a place is looked at from the segment's beginning on."""
     if text is None:
         return []
     table = compiled(rules, lang or "")
-    places = set()
-    for breaks, _, after, before in table:
+    places: set[int] = set()
+    for breaks, before, after in table:
         if breaks:
-            places |= {m.end() for m in before.finditer(text)} if before else {m.start() for m in after.finditer(text)} if after else set()
+            places |= {m.end() for m in before.finditer(text, overlapped=True)} if before else {m.start() for m in after.finditer(text, overlapped=True)} if after else set()
     out, start = [], 0
     for i in sorted(places):
-        if not 0 < i < len(text):
+        if not start < i < len(text):
             continue
-        back = text[max(0, i - window) : i]
-        for breaks, ends, after, _ in table:
-            if (ends is None or ends.search(back)) and (after is None or after.match(text, i)):
+        for breaks, before, after in table:
+            if (before is None or before.match(text, start, i)) and (after is None or after.match(text, i)):
                 if breaks:
                     out.append(text[start:i])
                     start = i
@@ -87,6 +98,70 @@ def segment(text: str | None, lang: str | None, rules: tuple[Rule, ...] = DEFAUL
     return out
 
 
+_INLINE = re.compile(r"<(ph|bpt|ept|it)\b[^>]*(?<!/)>.*?</\1>|<[^>]*>", re.S)
+
+
+def segment_tagged(text: str | None, lang: str | None, rules: tuple[Rule, ...] = DEFAULT) -> list[str]:
+    """Segments of a text with inline tags, which the rules don't see. Tags at a place where the text breaks begin the next segment; joined,
+    the segments give the text."""
+    if text is None:
+        return []
+    tags = list(_INLINE.finditer(text))
+    if not tags:
+        return segment(text, lang, rules)
+    plain, starts, at = [], [], 0  # places of the plain text's characters in the whole
+    for m in [*tags, None]:
+        end = m.start() if m else len(text)
+        plain.append(text[at:end])
+        starts += range(at, end)
+        at = m.end() if m else end
+    out, seen, begin = [], 0, 0
+    parts = segment("".join(plain), lang, rules)
+    for part in parts[:-1]:
+        seen += len(part)
+        cut = starts[seen - 1] + 1
+        out.append(text[begin:cut])
+        begin = cut
+    return [*out, text[begin:]]
+
+
+def seg_source(text: str, lang: str | None, rules: tuple[Rule, ...] = DEFAULT) -> str:
+    """A text as markers with numbers."""
+    return "".join(f'<mrk mtype="seg" mid="{i}">{part}</mrk>' for i, part in enumerate(segment_tagged(text, lang, rules)))
+
+
+_EDGE = re.compile(r"<[^>]*>\s*|\s+")
+
+
+def resegment(unit_id: str, source: str, target: str | None, lang: str | None, rules: tuple[Rule, ...] = DEFAULT) -> list[tuple[str, str, str]]:
+    """(kind, id, text) of a unit that is cut anew: kinds are segment and ignorable (tags alone at the edges). A unit that has a target
+    of its own, or that gives one segment, keeps its id."""
+    if target is not None and target.strip() and target != source:
+        return [("segment", unit_id, source)]
+    out = []
+    parts = segment_tagged(source, lang, rules)
+    n = 0
+    for part in parts:
+        if not _INLINE.sub("", part).strip():
+            out.append(("ignorable", "", part))
+        else:
+            n += 1
+            out.append(("segment", f"{unit_id}-{n}", part))
+    return [(kind, unit_id if kind == "segment" and n == 1 else i, part) for kind, i, part in out]
+
+
+def resegmented(df: DataFrame, key: str, unit_id: str, source: str, target: str, lang: str, rules: tuple[Rule, ...] = DEFAULT) -> DataFrame:
+    """``key, ord, kind, segment_id, text`` of all units."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, i, *x) for k, u, s, t, g in zip(*(c.to_pylist() for c in batch.columns)) if s is not None for i, x in enumerate(resegment(u or "", s, t, (g or "").replace("_", "-"), rules))]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names=[key, "ord", "kind", "segment_id", "text"])
+
+    return df.select(F.col(key).cast("bigint"), unit_id, source, target, lang).mapInArrow(run, f"{key} bigint, ord bigint, kind string, segment_id string, text string")
+
+
 def segments(df: DataFrame, key: str, text: str, lang: str, rules: tuple[Rule, ...] = DEFAULT) -> DataFrame:
     """``key, seg_ord, segment`` of every text, in one pass without shuffle."""
 

@@ -1,8 +1,8 @@
 """Structured formats to segments: ``read_segments(df, format)`` parses one document a row inside ``mapInArrow``.
 
 Every reader gives ordered units: id, name, source, target, approved, note. Text that isn't translatable is no unit.
-Defined results: null and empty content gives no units; content that doesn't parse gives none and one row in
-``read_errors``. Inline tags stay in the text of HTML, subtitles and messages, and are listed apart.
+Defined results: null and empty content gives no units; content that doesn't parse gives none and one row whose
+``error`` says why. Inline tags stay in the text. Formats that are also written are read as pieces (``formats``); packages are in ``packages``.
 """
 
 from __future__ import annotations
@@ -21,103 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Unit = tuple  # (id, name, source, target, approved, note)
+from segforge.sources import formats
+
 TAG = re.compile(r"</?[A-Za-z][^>]*>")
-C_FORMAT = re.compile(r"%(?:\d+\$)?[-+ #0]*\d*(?:\.\d+)?[diouxXfeEgGcs]")
+Unit = tuple  # (id, name, source, target, approved, note)
 
 
 def unit(i, source, name=None, target=None, approved=None, note=None) -> Unit:
     return (str(i), name, source, target, approved, note)
 
 
-def plain(text: str) -> Iterator[Unit]:
-    """Paragraphs between blank lines."""
-    n = 0
-    for p in re.split(r"\n[ \t]*\n", text):
-        if p.strip():
-            yield unit(n, p.strip("\n"))
-            n += 1
-
 
 def plain_lines(text: str) -> Iterator[Unit]:
     for n, line in enumerate(x for x in text.splitlines() if x.strip()):
         yield unit(n, line)
 
 
-def unescape_properties(text: str) -> str:
-    text = re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m.group(1), 16)), text)
-    return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r", "f": "\f"}.get(m.group(1), m.group(1)), text)
-
-
-def properties(text: str) -> Iterator[Unit]:
-    """key=value with continuation lines and escapes; comments become the note of the next entry."""
-    note, n, lines = [], 0, iter(text.splitlines())
-    for line in lines:
-        bare = line.lstrip()
-        if not bare:
-            note = []
-            continue
-        if bare[0] in "#!":
-            note.append(bare[1:].strip())
-            continue
-        while bare.endswith("\\") and (len(bare) - len(bare.rstrip("\\"))) % 2:
-            bare = bare[:-1] + next(lines, "").lstrip()
-        m = re.match(r"((?:\\.|[^\\=:\s])+)\s*[=:\s]\s*(.*)", bare, re.S)
-        if m and m.group(2).strip():
-            yield unit(n, unescape_properties(m.group(2)), unescape_properties(m.group(1)), note="\n".join(note) or None)
-            n += 1
-        note = []
-
 
-def _po_string(lines: list[str]) -> str:
-    raw = "".join(m.group(1) for x in lines if (m := re.search(r'"(.*)"\s*$', x)))
-    return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r"}.get(m.group(1), m.group(1)), raw)
 
 
-def po(text: str) -> Iterator[Unit]:
-    """Message catalogue: plural forms are units of their own; approved is not fuzzy and not blank; the header is skipped."""
-    n = 0
-    for block in re.split(r"\n[ \t]*\n", text):
-        parts: dict[str, list[str]] = {}
-        at, flags, notes = None, "", []
-        for line in block.splitlines():
-            if line.startswith("#~"):
-                continue
-            if line.startswith("#,"):
-                flags += line[2:]
-            elif line.startswith("#"):
-                notes.append(line.lstrip("#.: "))
-            elif m := re.match(r"(msgctxt|msgid_plural|msgid|msgstr(?:\[\d+\])?)\s*(\".*)", line):
-                at = m.group(1)
-                parts[at] = [m.group(2)]
-            elif at and line.lstrip().startswith('"'):
-                parts[at].append(line)
-        if "msgid" not in parts:
-            continue
-        source = _po_string(parts["msgid"])
-        context, fuzzy, note = _po_string(parts.get("msgctxt", [])) or None, "fuzzy" in flags, "\n".join(notes) or None
-        if not source:
-            continue
-        forms = sorted(k for k in parts if k.startswith("msgstr"))
-        for k in forms or ["msgstr"]:
-            target = _po_string(parts.get(k, []))
-            which = re.search(r"\[(\d+)\]", k)
-            text_of = _po_string(parts["msgid_plural"]) if which and which.group(1) != "0" and "msgid_plural" in parts else source
-            yield unit(f"{n}[{which.group(1)}]" if which else n, text_of, context, target or None, bool(target.strip()) and not fuzzy, note)
-        n += 1
-
-
-def subtitles(text: str) -> Iterator[Unit]:
-    """SRT and WebVTT cues; the note holds cue id, time and speaker."""
-    for block in re.split(r"\n[ \t]*\n", text.removeprefix("\ufeff")):
-        rows = block.strip("\n").split("\n")
-        at = next((i for i, r in enumerate(rows[:3]) if " --> " in r), None)
-        if at is None or not "\n".join(rows[at + 1 :]).strip():
-            continue
-        body = "\n".join(rows[at + 1 :])
-        speaker = re.search(r"<v\s+([^>]+)>", body)
-        note = "; ".join(x for x in (rows[at].strip(), speaker and speaker.group(1)) if x)
-        yield unit(rows[0].strip() if at else rows[at].split(" ")[0], body, note=note)
 
 
 def json_strings(text: str) -> Iterator[Unit]:
@@ -236,48 +158,6 @@ def html_units(text: str) -> Iterator[Unit]:
         yield unit(n, body)
 
 
-def markdown(text: str) -> Iterator[Unit]:
-    """Blocks: front matter, fences, indented code and rules are skeleton; headings, lists, quotes and cells are units."""
-    n, held, fence = 0, [], None
-    lines = text.splitlines()
-    if lines[:1] == ["---"] and "---" in lines[1:]:
-        lines = lines[lines.index("---", 1) + 1 :]
-
-    def flush():
-        nonlocal n, held
-        body = " ".join(x.strip() for x in held).strip()
-        held = []
-        if body:
-            n += 1
-            yield unit(n - 1, body)
-
-    for line in lines:
-        bare = line.strip()
-        mark = re.match(r"(`{3,}|~{3,})", bare)
-        if fence:
-            fence = None if bare.startswith(fence) and not bare.strip(fence[0]) else fence
-            continue
-        if mark:
-            yield from flush()
-            fence = mark.group(1)
-        elif not bare or re.fullmatch(r"(?:[-*_]\s*){3,}|=+|\|?[\s:|-]+\|[\s:|-]*", bare) or re.match(r"\[[^\]]+\]:\s", bare) or (not held and re.match(r" {4}|\t", line)):
-            yield from flush()
-        elif m := re.match(r"#{1,6}\s+(.*?)\s*#*$", bare):
-            yield from flush()
-            held = [m.group(1)]
-            yield from flush()
-        elif bare.startswith("|") and bare.endswith("|"):
-            yield from flush()
-            for cell in re.split(r"(?<!\\)\|", bare.strip("|")):
-                held = [cell]
-                yield from flush()
-        elif m := re.match(r"(?:[-*+]|\d+[.)]|>)\s+(.*)", bare):
-            yield from flush()
-            held = [m.group(1)]
-        else:
-            held.append(bare)
-    yield from flush()
-
 
 def _local(e) -> str:
     return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
@@ -338,19 +218,6 @@ def xliff(text: str) -> Iterator[Unit]:
     yield from walk(ET.fromstring(text), "yes")
 
 
-def qt_ts(text: str) -> Iterator[Unit]:
-    n = 0
-    for context in ET.fromstring(text).iter("context"):
-        for m in context.iter("message"):
-            target = m.find("translation")
-            body = "".join(target.itertext()) if target is not None else ""
-            yield unit(n, "".join(m.find("source").itertext()), context.findtext("name"), body or None, target is not None and target.get("type") is None and bool(body.strip()), m.findtext("comment"))
-            n += 1
-
-
-def resx(text: str) -> Iterator[Unit]:
-    for n, e in enumerate(x for x in ET.fromstring(text).iter("data") if x.get("type") is None and (x.findtext("value") or "").strip()):
-        yield unit(n, e.findtext("value"), e.get("name"), note=e.findtext("comment"))
 
 
 def tmx(text: str) -> Iterator[Unit]:
@@ -361,51 +228,6 @@ def tmx(text: str) -> Iterator[Unit]:
             yield unit(tu.get("tuid", n), segs[0], target=segs[1] if len(segs) > 1 else None, approved=len(segs) > 1)
 
 
-def txml(text: str) -> Iterator[Unit]:
-    for n, s in enumerate(ET.fromstring(text).iter("segment")):
-        source, target = s.find("source"), s.find("target")
-        if source is not None and "".join(source.itertext()).strip():
-            yield unit(s.get("segmentId", n), _inner(source), target=_inner(target) if target is not None else None)
-
-
-_JS = re.compile(r"//[^\n]*|/\*.*?\*/|\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`((?:\\.|[^`\\])*)`", re.S)
-
-
-def javascript(text: str) -> Iterator[Unit]:
-    n = 0
-    for m in _JS.finditer(text):
-        body = next((g for g in m.groups() if g is not None), None)
-        if body and body.strip():
-            yield unit(n, body)
-            n += 1
-
-
-def php(text: str) -> Iterator[Unit]:
-    for n, m in enumerate(re.finditer(r"""(['"])((?:\\.|(?!\1).)*)\1\s*=>\s*(['"])((?:\\.|(?!\3).)*)\3""", text, re.S)):
-        yield unit(n, re.sub(r"\\(['\"\\])", r"\1", m.group(4)), m.group(2))
-
-
-def windows_rc(text: str) -> Iterator[Unit]:
-    """Quoted strings of string tables, dialogs and menus, with the identifier of the line."""
-    n = 0
-    for line in text.splitlines():
-        if line.lstrip().startswith(("//", "#")):
-            continue
-        for m in re.finditer(r'"((?:""|[^"])*)"', line):
-            if m.group(1).strip():
-                name = re.match(r"\s*([A-Za-z_]\w*)", line)
-                yield unit(n, m.group(1).replace('""', '"'), name and name.group(1))
-                n += 1
-
-
-def mif(text: str) -> Iterator[Unit]:
-    """Strings of each paragraph joined."""
-    for n, para in enumerate(re.findall(r"<Para\b(.*?)> # end of Para", text, re.S)):
-        body = "".join(re.findall(r"<String `(.*?)'>", para))
-        if body.strip():
-            yield unit(n, body)
-
-
 def csv_units(text: str) -> Iterator[Unit]:
     for n, row in enumerate(csv.reader(io.StringIO(text))):
         for c, cell in enumerate(row):
@@ -418,20 +240,19 @@ def office(data: bytes) -> Iterator[Unit]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = [x for x in z.namelist() if x.endswith(".xml") and not re.search(r"(?i)master|layout|theme|styles|settings|fontTable|docProps|\[Content", x)]
         for name in sorted(names, key=lambda x: re.sub(r"\d+", lambda m: m.group().zfill(8), x)):
-            try:
-                root = ET.fromstring(z.read(name))
-            except ET.ParseError:
-                continue
+            root = ET.fromstring(z.read(name))  # a broken member makes the package one row with an error
             for k, p in enumerate(e for e in root.iter() if _local(e) in ("p", "si", "h")):
                 body = "".join(e.text or "" for e in p.iter() if _local(e) in ("t", "p", "h", "span", "a"))
                 if body.strip() and not re.fullmatch(r"[\s\d.,%$€£+-]+", body):
                     yield unit(f"{name}:{k}", body)
 
 
-READERS = {
-    "plaintext": plain, "plainlines": plain_lines, "properties": properties, "po": po, "srt": subtitles, "vtt": subtitles, "json": json_strings, "html": html_units, "markdown": markdown, "xml": xml_units,
-    "xliff": xliff, "ts": qt_ts, "resx": resx, "tmx": tmx, "txml": txml, "javascript": javascript, "php": php, "rc": windows_rc, "mif": mif, "csv": csv_units,
-}
+def by_pieces(fmt: str):
+    """Reader of a format that is read and written as pieces."""
+    return lambda text: (unit(i, s.unit, s.name, None if s.source is None else s.text, s.approved, s.note) for i, s in enumerate(formats.slots(fmt, text)))
+
+
+READERS = {fmt: by_pieces(fmt) for fmt in formats.FORMATS} | {"plainlines": plain_lines, "json": json_strings, "html": html_units, "xml": xml_units, "xliff": xliff, "tmx": tmx, "csv": csv_units}
 SCHEMA = "unit_ord int, unit_id string, name string, source string, target string, approved boolean, note string, error string"
 
 
