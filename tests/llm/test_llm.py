@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,9 +133,64 @@ def test_garbled_into_letters_of_its_own_script(spark):
     assert {r["unit_key"] for r in mojibake.found(df, files).collect()} == got.keys()
 
 
+def test_garbled_text_is_found_however_full_the_table_is():
+    """Every cell of the model is filled, as a large corpus fills it."""
+    units = list(zip(*[c.to_pylist() for c in pq.read_table("/root/testdata/sf0.01/trans_units.parquet", columns=["file_id", "source"]).columns]))
+    files = pq.read_table("/root/testdata/sf0.01/files.parquet", columns=["file_id", "source_language"]).to_pydict()
+    langs = {i: (x or "").lower().replace("_", "-").split("-")[0] for i, x in zip(files["file_id"], files["source_language"])}
+    texts = [(langs.get(f), s) for f, s in units if s and langs.get(f) in ("de", "fr", "es", "pt", "pl") and mojibake.sound(langs.get(f), s)]
+    k = len(ngrams.LANGUAGES)
+    table = np.zeros((2 * k, ngrams.BUCKETS), np.int64)
+    for lang in {x for x, _ in texts}:
+        codes, _ = ngrams.codes_of([t for x, t in texts if x == lang])
+        grams, (found, _) = ngrams.trigrams(codes), ngrams.words(codes)
+        table[ngrams.ROW[lang]] += np.bincount(grams[grams >= 0], minlength=ngrams.BUCKETS)
+        table[k + ngrams.ROW[lang]] += np.bincount(found, minlength=ngrams.BUCKETS)
+    broken = [(x, t, t.encode("utf-8").decode("cp1252", "replace")) for x, t in dict.fromkeys(texts) if sum(c > "\x7f" for c in t) >= 2][:250]
+    broken = [(x, t, b) for x, t, b in broken if "\ufffd" not in b]
+    assert len(broken) > 150
+    filled = table.copy()
+    filled[:k] += np.random.default_rng(1).poisson(2, filled[:k].shape)
+    for counts in (table, filled):
+        c = mojibake.Channels(counts)
+        got = [c.search(b, x) for x, _, b in broken]
+        assert sum(g is not None for g in got) >= 0.97 * len(broken)
+        assert sum(g is not None and g[0] == t for g, (_, t, _) in zip(got, broken)) >= 0.95 * len(broken)
+
+
+def test_lost_bytes_are_filled_by_the_lattice(spark):
+    zh = ["请打开菜单，然后选择语言。", "术语表已更新。", "修改已经保存到文件。"]
+    c = mojibake.Channels(mojibake.learn(spark.createDataFrame([("zh", f"{t}{i % 3}") for t in zh for i in range(40)], "lang string, text string")))
+    for t in zh:
+        data = t.encode("utf-8")
+        broken = data.decode("gb18030", "replace")
+        got = c.search(broken, "zh")
+        assert got and sum(a == b for a, b in zip(got[0], t)) >= len(t) - 2, (broken, got)
+    row = ngrams.ROW["zh"]
+    lost = "术语表已更新。".encode("utf-8").decode("latin-1").replace("\xe8\xaf\xad", "\ufffd\ufffd\xad")  # of one character two bytes are lost
+    assert c.lattice(lost, "cp1252", "utf-8", row) == "术语表已更新。"
+
+
+def test_short_texts_of_wide_encodings(spark):
+    c = mojibake.Channels(mojibake.learn(spark.createDataFrame([("zh", "打印")] * 50 + [("zh", "文件已打印")] * 50, "lang string, text string")))
+    bad = "打印".encode("gb18030").decode("cp1252")
+    assert sum(x > "\x7f" for x in bad) >= 2 and c.lattice(bad, "cp1252", "gb18030", ngrams.ROW["zh"]) == "打印"
+
+
 # sentences ---------------------------------------------------------------------------------------------------------
 
 
+def test_tokens_of_any_length_before_a_period():
+    none = sentences.Evidence()
+    word = "x" * 70
+    places = [p for p in sentences.places(f"See {word}. Then go.", "en") if p.kind == "period"]
+    assert places[0].word == word and sentences.shape_of(word) != sentences.shape_of("y" * 70) != sentences.FILE
+    deep = "“" * 3000 + "a. B" + "”" * 3000 + " c."
+    assert sentences.cut(deep, "en", lambda w: none)
+    assert len(sentences.cut("(a. b) " * 3000, "en", lambda w: none)) >= 1
+
+
+
 def cut(text, lang, **known):
     none = sentences.Evidence()
     return [text[a:b] for a, b in sentences.cut(text, lang, lambda w: known.get(w, none))]
@@ -228,6 +284,23 @@ def test_cuts_are_judged_by_their_share(spark):
         assert sorted(rows(pairs.found(df, files))) == [(k, "truncated") for k in range(times)]
 
 
+def test_copies_and_cuts_by_their_evidence(spark):
+    name = "Casquidhystervalumetraquillbayvexmeterrivenkonorviktorrakgantrynine Pro!"  # over 60 characters, no plain words
+    units = [(k, 1, name, f"Übersetzt {k} und fertig.", "yes") for k in range(5)] + [(9, 1, name, name, "yes")]
+    units += [(20 + k, 1, f"The file a{k}.txt was read.", f"Die Datei a{k}.txt wurde gelesen und geprüft.", "yes") for k in range(6)] + [(30, 1, "The file a9.txt was read.", "Die Datei a9.txt wurde", "yes")]
+    units += [(40, 1, "Where are the bells?", "Dort drüben im", "yes"), (41, 1, "It costs 12 (4)", "Es kostet 12 (4)", "yes")]
+    df = spark.createDataFrame(units, "unit_key bigint, file_id bigint, source string, target string, approved string")
+    files = spark.createDataFrame([(1, "en", "de")], "file_id bigint, source_language string, target_language string")
+    got = {tuple(r) for r in pairs.explained(df, files).collect() if r["defect"] != "wrong_language"}
+    assert got == {(9, "copy", "others"), (30, "truncated", "neighbour"), (40, "truncated", "mark")}
+    assert pairs.masked("Die Datei a9.txt von Gantry Nine wurde", "de") == "Die w von w wurde" and pairs.finished("Gut. (41)") and not pairs.finished("Gut (41)")
+
+
+def test_length_limits(spark):
+    marked = spark.createDataFrame([(80, "cut")] * 40 + [(n, "cut") for n in range(60, 79)], "chars int, doubt string").selectExpr("*", "true as unfinished", "cast(null as string) as defect")
+    assert rows(pairs.limits(marked)) == [(80, 40)]
+
+
 # mixing ------------------------------------------------------------------------------------------------------------
 
 
