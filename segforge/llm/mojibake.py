@@ -72,6 +72,8 @@ RARE, RARE_RUN, LEAST_CHANGED, LIKELIER = 0.05, 4, 4, 3.0
 SWITCH, UNKNOWN_WORD = 2.0, -15.0
 #: What each byte after the first of a complete sequence is worth by itself, and ways that the search through a lattice keeps at each byte.
 WELL_FORMED, WAYS = 4.0, 4
+#: Ways that are kept where they are equally good.
+EQUALS = 256
 #: Channels are searched whose cheap view has at most so many unheard-of trigrams more than the best.
 NEAR = 0.5
 #: Encodings by which text may have been misread a second time.
@@ -198,7 +200,11 @@ def _best(ways: list[tuple]) -> list[tuple]:
         at = x[1:3]
         if at not in top or (x[0], x[3]) > (top[at][0], top[at][3]):
             top[at] = x
-    return sorted(top.values(), key=lambda x: (-x[0], x[3]))[:WAYS]
+    ranked = sorted(top.values(), key=lambda x: (-x[0], x[3]))
+    if len(ranked) <= WAYS:
+        return ranked
+    # what comes next tells between equals
+    return [x for x in ranked[:EQUALS] if x[0] >= ranked[WAYS - 1][0]]
 
 
 class Channels:
