@@ -37,6 +37,8 @@ MET = 1_000_000
 CELLS = 1 << 16
 _SCRIPT_ENDS = (0x370, 0x590, 0x900, 0xE00, 0x1800)
 SCRIPTS_NUMBER = len(_SCRIPT_ENDS) + 2
+#: What a cell of each script counts as: runs of characters are parts of words.
+_WORTH = np.array([1, 1, 1, 1, 1, 1 / 3, 1 / 2])
 BUCKETS = CELLS * SCRIPTS_NUMBER
 #: Rounds at most; fewer if less than ``SETTLED`` of the weight of all kinds moves.
 ROUNDS, SETTLED = 8, 0.002
@@ -47,19 +49,21 @@ PRIOR = np.log(np.array([0.96, 0.01, 0.01, 0.01, 0.01]))
 BACKGROUND = 0.3
 #: Words of a script that a kind must have to rely on half of what they tell.
 FEW = 30.0
-#: Occurrences by which every count of a kind is lessened: a word that it has once tells nothing.
-ONCE = 0.5
+#: Occurrences by which every count of a kind is lessened: a word that it has once or so tells nothing.
+ONCE = 0.75
 #: Words of a longer passage weigh as so many; they depend on each other.
 WORDS_COUNT = 7.0
 #: In records of so many passages at most, their number and the passages beside are evidence.
 SHORT = 8
+#: Share of a passage's occurrences in longer records from which its surroundings in short ones are no evidence: it's a common line.
+COMMON = 0.2
 #: What the surroundings can add to the log odds of a kind at most, so that a passage's own words must agree.
 AROUND = 14.0
 
 # Slots that say themselves that something must be put in their place.
-TO_FILL = re.compile(r"\{\$t\([^()\n]+\)\}|<%[=\-]?[^%<>\n]+%>|\[\[[^\[\]\n]+\]\]|<<[^<>\n]+>>|<[A-Za-z][\w ]* TBD>|\[(?:INSERT|Insert|ENTER|Enter) [^\]\n]+\]|\[[^\[\]\n]+ goes here\]|«[A-Z][A-Z_]+»|@@[A-Z_]+@@|(?<!\w)(?:__[A-Z][A-Z_]+__|XXX[A-Z]*XXX|_{4,})(?!\w)")
+TO_FILL = re.compile(r"\{\$t\([^()\n]+\)\}|<%[=\-]?[^%<>\n]+%>|\[\[[^\[\]\n]+\]\]|<<[^<>\n]+>>|<[A-Za-z][\w ]* TBD>|\[(?:INSERT|Insert|ENTER|Enter) [^\]\n]+\]|\[[^\[\]\n]+ goes here\]|«[A-Z][A-Z_]+»|@@[A-Z_]+@@|(?<![A-Za-z0-9_])(?:__[A-Z][A-Z_]+__|XXX[A-Z]*XXX|_{4,})(?![A-Za-z0-9_])")
 # Other slots; format marks of string files are among them.
-SLOT = re.compile(TO_FILL.pattern + r"|\{\{[^{}\n]+\}\}|[$#]\{[^{}\n]+\}|\{%[^%{}\n]+%\}|\{[A-Za-z_][\w.]*\}|\{[\d\x03]+\}|%[\d\x03]+\$[sd@]|(?<![\w%])%[sd@](?!\w)|%+[A-Z][A-Z_]+%+|%%+[\d\x03]+%%+|\$[A-Z][A-Z_]+\$|(?<!\w)TBD(?!\w)|&lt;[\w ]+&gt;")
+SLOT = re.compile(TO_FILL.pattern + r"|\{\{[^{}\n]+\}\}|[$#]\{[^{}\n]+\}|\{%[^%{}\n]+%\}|\{[A-Za-z_][\w.]*\}|\{[\d\x03]+\}|%[\d\x03]+\$[sd@]|(?<![A-Za-z0-9_%])%[sd@](?![A-Za-z0-9_])|%+[A-Z][A-Z_]+%+|%%+[\d\x03]+%%+|\$[A-Z][A-Z_]+\$|(?<![A-Za-z0-9_])TBD(?![A-Za-z0-9_])|&lt;[\w ]+&gt;")
 _MAY_HOLD_SLOT = re.compile(r"[{$%\[<@«&]|__|XXX|TBD")
 # Lines of string files and subtitles, numbers masked.
 FORMATTED = r"^\s*(?:[{\[]?\s*\"[^\"]*\"\s*[:,]|\"[^\"]*\",?\s*[}\]]?\s*$|[\w.\-\[\]]+\s*=|msg(?:id|str|ctxt)\b|<(?:string|trans-unit|data|source|target|resource)\b|[0\x03]+\s*$|0:0[:.,0]*\s*-->|#[~,:.|]|//)"
@@ -188,7 +192,8 @@ def admissible(passage: str, formatted: bool) -> int:
 
 
 def words_of(passage: str) -> list[str]:
-    """Words and pairs of words; slots and quotes are one word each, unspaced scripts give pairs of characters."""
+    """Words and pairs of words; slots and quotes are one word each, unspaced scripts give pairs of characters, or three where
+    they write vowels."""
     lead, words = [], []
     if _MAY_HOLD_SLOT.search(passage):
         passage, n = SLOT.subn(" \x04 ", passage)
@@ -197,7 +202,8 @@ def words_of(passage: str) -> list[str]:
         lead.append("\x00quote")
     if not passage.isascii():
         for run in _UNSPACED.findall(passage):
-            words += [run[i : i + 2] for i in range(len(run) - 1)]
+            size = 3 if run[0] < "\u0f00" else 2
+            words += [run[i : i + size] for i in range(max(1, len(run) - size + 1))]
         passage = _UNSPACED.sub(" ", passage)
         spaced = _WORD.findall(passage.lower())
     else:
@@ -235,7 +241,8 @@ def features(passage: str, formatted: bool, n: int | None, before: str | None, a
 
 
 def distinct_passages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``k1, k2, features, around, kind, may, n``: each distinct passage once, with its trusted kind."""
+    """``k1, k2, features, around, kind, may, n``: each distinct passage once, with its trusted kind. Of passages that are common in
+    longer records too only the words count."""
 
     def run(batches):
         for batch in batches:
@@ -247,29 +254,34 @@ def distinct_passages(documents: DataFrame, key: str = "doc_id", text: str = "te
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "features", "around", "kind", "may", "n"])
 
-    return passages(documents, key, text).mapInArrow(run, "k1 bigint, k2 bigint, features array<int>, around int, kind int, may int, n bigint")
+    each = materialise(passages(documents, key, text))
+    longer = F.sum(F.when(F.col("n").isNull(), F.col("times")).otherwise(0)) / F.sum("times")
+    common = each.groupBy("p").agg((longer >= COMMON).alias("common"))
+    alone = lambda c: F.when(~F.col("common"), F.col(c)).alias(c)
+    told = each.join(common, "p").select("k1", "k2", "p", "formatted", alone("n"), alone("before"), alone("after"), "times")
+    return told.mapInArrow(run, "k1 bigint, k2 bigint, features array<int>, around int, kind int, may int, n bigint")
 
 
-def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(cells, their passage, whether they are words, number of each passage's words) from the list column's buffers."""
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(cells, their passage, whether they are words, number of passages) from the list column's buffers."""
     column = batch.column("features")
     offsets = column.offsets.to_numpy()
     cells = column.values.to_numpy()[offsets[0] : offsets[-1]]
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    words = sizes - batch.column("around").to_numpy()
     place = np.arange(len(cells)) - np.repeat(offsets[:-1] - offsets[0], sizes)
-    return cells, owner, place < words[owner], words
+    return cells, owner, place < (sizes - batch.column("around").to_numpy())[owner], len(sizes)
 
 
 def posteriors(batch: pa.RecordBatch, model: np.ndarray) -> np.ndarray:
     """Posterior of each kind for each passage."""
-    cells, owner, is_word, words = _arrays(batch)
-    weight = np.minimum(1.0, WORDS_COUNT / np.maximum(words, 1))[:, None]
-    odds = (model[1:] - model[0])[:, cells]
-    add = lambda part: np.stack([np.bincount(owner[part], weights=o[part], minlength=len(words)) for o in odds], axis=1)
-    scores = add(is_word) * weight + np.minimum(add(~is_word), AROUND)
-    scores = np.concatenate([np.zeros((len(words), 1)), scores], axis=1) + PRIOR
+    cells, owner, is_word, n = _arrays(batch)
+    worth = _WORTH[cells // CELLS]
+    words = np.bincount(owner[is_word], weights=worth[is_word], minlength=n)
+    odds = (model[1:] - model[0])[:, cells] * worth
+    add = lambda part: np.stack([np.bincount(owner[part], weights=o[part], minlength=n) for o in odds], axis=1)
+    scores = add(is_word) * np.minimum(1.0, WORDS_COUNT / np.maximum(words, 1))[:, None] + np.minimum(add(~is_word), AROUND)
+    scores = np.concatenate([np.zeros((n, 1)), scores], axis=1) + PRIOR
     out = np.exp(scores - scores.max(axis=1, keepdims=True))
     return out / out.sum(axis=1, keepdims=True)
 
