@@ -72,6 +72,8 @@ RARE, RARE_RUN, LEAST_CHANGED, LIKELIER = 0.05, 4, 4, 3.0
 SWITCH, UNKNOWN_WORD = 2.0, -15.0
 #: What each byte after the first of a complete sequence is worth by itself, and ways that the search through a lattice keeps at each byte.
 WELL_FORMED, WAYS = 4.0, 4
+#: Texts whose answers a task remembers; memory only.
+KNOWN = 50_000
 #: Ways that are kept where they are equally good.
 EQUALS = 256
 #: Channels are searched whose cheap view has at most so many unheard-of trigrams more than the best.
@@ -214,6 +216,7 @@ class Channels:
         k = len(ngrams.LANGUAGES)
         self.grams, self.word_counts = table[:k], table[k:]
         self.steps: dict[tuple, float] = {}
+        self.viewed: tuple[str, dict] = ("", {})
         total, words = self.grams.sum(axis=1), self.word_counts.sum(axis=1)
         self.usual = (self.grams.astype(np.float64) ** 2).sum(axis=1) / np.maximum(total, 1)
         self.total, self.word_total = total, words
@@ -388,7 +391,13 @@ class Channels:
 
     def likely(self, text: str, channels: list[tuple[str, str]], row: int) -> list[tuple[str, str]]:
         """The channels whose cheap view is heard of most, ties included."""
-        views = [(got, c) for c in channels if (got := self.straight(text, *c)) is not None and got != text]
+        if self.viewed[0] != text:  # the views of a text are the same for every language
+            self.viewed = (text, {})
+        seen = self.viewed[1]
+        for c in channels:
+            if c not in seen:
+                seen[c] = self.straight(text, *c)
+        views = [(seen[c], c) for c in channels if seen[c] is not None and seen[c] != text]
         views = list({got: (got, c) for got, c in reversed(views)}.values())[::-1]  # equal views: the first channel
         views += [(again, c) for got, c in views if c[1] == "utf-8" for x in TWICE if (again := self.straight(got, x, "utf-8")) is not None]
         if not views:
@@ -531,11 +540,13 @@ def judged(texts: DataFrame, table: np.ndarray) -> DataFrame:
 
     def run(batches):
         channels = Channels(shared.value)
+        known: dict[tuple, tuple | None] = {}  # answers for distinct texts
         for batch in batches:
             keys, langs, values = (c.to_pylist() for c in batch.columns)
             rows = []
             doubtful: dict[str, list[int]] = {}
-            known: dict[tuple, tuple | None] = {}
+            if len(known) > KNOWN:
+                known.clear()
             for i, (key, lang, text) in enumerate(zip(keys, langs, values)):
                 if not text:
                     continue
